@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 
 from rangescan.llm.decontamination import contamination, items_digest
 from rangescan.llm.exact_dedup import exact_duplicates
+from rangescan.llm.line_dedup import line_report
+from rangescan.llm.passages import passage_classes
 from rangescan.llm.pieces import encode_pieces
 from rangescan.llm.simhash import hex_fingerprint, simhash_classes
 from rangescan.llm.token_counts import token_counts
 from rangescan.llm.token_file import token_ids
+from rangescan.llm.toxicity import fit, held_out, toxicity_scores
+from rangescan.llm.warc import archive_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash_classes(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", hex_fingerprint("fp").alias("fingerprint"), "component_id")
@@ -31,10 +39,24 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = toxicity_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -44,7 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", "n_items", items_digest("items").alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_token_counts, op4_token_file, op7_exact_dedup, op9_pieces, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_passages, op2_simhash, op3_token_counts, op4_token_file, op5_line_dedup, op6_toxicity, op7_exact_dedup, op8_warc, op9_pieces, op10_decontamination)}
 
 ORACLES = {
     "op7_exact_dedup": """
