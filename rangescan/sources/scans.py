@@ -48,7 +48,7 @@ def path_number(path: Column) -> Column:
 def list_scans(spark: SparkSession, path: str, prefix: str = "", suffix: str = "", ordered: bool = True) -> DataFrame:
     """(frame_id, path) of the files of a folder with a prefix and a suffix; empty for a missing folder.
 
-    ``ordered``: by number, then path; else by path.
+    Files without a byte hold no scan and are left out. ``ordered``: by number, then path; else by path.
     """
     files = _files(spark, path, prefix, suffix, "path")
     keys = [path_number(F.col("path")), F.col("path")] if ordered else [F.col("path")]
