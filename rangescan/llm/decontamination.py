@@ -8,7 +8,6 @@ cut into automata of a bounded number of words.
 
 from __future__ import annotations
 
-import hashlib
 from array import array
 from collections import defaultdict
 
@@ -245,6 +244,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
 
     return docs.mapInArrow(run, docs.schema)
 
-
-def digest_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
