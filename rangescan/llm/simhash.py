@@ -11,6 +11,7 @@ are the same.
 
 from __future__ import annotations
 
+import random
 from itertools import combinations
 
 import numpy as np
@@ -102,8 +103,8 @@ def _forest(reps: list[int], i: np.ndarray, j: np.ndarray) -> tuple[list[int], l
     return a, b
 
 
-def _links(batches, max_bits: int):
-    """Batches are sorted by posting; the list at the end of a batch waits for the next one."""
+def _lists(batches):
+    """Columns of a stream sorted by its first two, in pieces that hold whole lists (rows equal in both)."""
     rest = None
     for batch in batches:
         cols = [np.asarray(c) for c in batch.columns]
@@ -112,11 +113,17 @@ def _links(batches, max_bits: int):
             rest = None
             continue
         same = (rest[0] == rest[0][-1]) & (rest[1] == rest[1][-1])
-        done = int(np.argmax(same))  # the last list starts here
-        yield from _linked([c[:done] for c in rest], max_bits)
+        done = int(np.argmax(same))  # the last list starts here and waits for the next batch
+        if done:
+            yield [c[:done] for c in rest]
         rest = [c[done:] for c in rest]
     if rest is not None:
-        yield from _linked(rest, max_bits)
+        yield rest
+
+
+def _links(batches, max_bits: int):
+    for cols in _lists(batches):
+        yield from _linked(cols, max_bits)
 
 
 def _linked(cols: list[np.ndarray], max_bits: int):
@@ -159,9 +166,145 @@ def simhash_classes(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_per_class(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the row of the smallest id of each class; rows that repeat that id stay together."""
-    kept = simhash_classes(docs, shingle, max_bits, id_col, text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
+# Near duplicates by the similarity of their shingles ----------------------------------------------------
+#
+# Texts whose 5-word shingles have a Jaccard similarity of 0.8 differ in some 15 % of the bits of a SimHash
+# of these shingles: more than one bit a byte, so no number of equal bytes is guaranteed at any length. But
+# they differ in some 7 % of the bits of a SimHash of their distinct words. So candidates come from 256 bits
+# over the distinct words, by the same index over byte positions, and are verified on the shingles.
+
+#: Bytes of the wide fingerprint; bits in which candidates may differ; bytes of a position set, the guaranteed equal ones.
+WIDE_BYTES, WIDE_BITS = 32, 28
+SET_BYTES = WIDE_BYTES - WIDE_BITS
+#: Position sets; a pair meets if one of them lies within its equal bytes.
+SETS = 64
+#: Longer lists are gone through in windows of so many fingerprints that overlap by half.
+LIST = 1024
+_word_bits: dict[bytes, bytes] = {}
+
+
+def position_sets(count: int = SETS) -> list[tuple[int, ...]]:
+    """Different sets of byte positions by a fixed rule: a seeded generator draws them."""
+    rng, out = random.Random(SEED), []
+    while len(out) < count:
+        one = tuple(sorted(rng.sample(range(WIDE_BYTES), SET_BYTES)))
+        if one not in out:
+            out.append(one)
+    return out
+
+
+def wide_fingerprint(words: list[bytes]) -> np.ndarray:
+    """SimHash of 256 bits over the distinct words, as 4 unsigned longs; zeros without words."""
+    distinct = list(set(words))
+    if len(_word_bits) > 200_000:
+        _word_bits.clear()
+    for w in distinct:
+        if w not in _word_bits:
+            _word_bits[w] = xxhash.xxh3_128_digest(w) + xxhash.xxh3_128_digest(w, 1)
+    bits = np.zeros(8 * WIDE_BYTES, np.int64)
+    for k in range(0, len(distinct), _HASHES):
+        part = distinct[k : k + _HASHES]
+        table = np.frombuffer(b"".join([_word_bits[w] for w in part]), np.uint8).reshape(len(part), WIDE_BYTES)
+        bits += np.unpackbits(table, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * bits > len(distinct), bitorder="little").view("<u8")
+
+
+def _wide_rows(batches):
+    for batch in batches:
+        words = [t.lower().split() for t in texts_of(batch)]
+        joined = [b" ".join(w) for w in words]
+        keys = [pa.array(np.array([f(j) for j in joined], np.uint64).view(np.int64)) for f in (xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest)]
+        wide = np.array([wide_fingerprint(w) for w in words], np.uint64).reshape(-1, 4).view(np.int64)
+        yield pa.record_batch([ids_of(batch), *keys, *(pa.array(np.ascontiguousarray(wide[:, k])) for k in range(4))], ["doc_id", "k1", "k2", "f0", "f1", "f2", "f3"])
+
+
+def _spanning_tree(fps: np.ndarray) -> list[tuple[int, int]]:
+    """Minimum spanning tree by differing bits, edges above WIDE_BITS left out.
+
+    Any two fingerprints within some number of bits are joined by tree edges of no more bits.
+    """
+    n, edges = len(fps), []
+    far = np.full(n, 10_000)
+    via = np.zeros(n, np.int64)
+    at, left = 0, np.ones(n, bool)
+    for _ in range(n - 1):
+        left[at] = False
+        d = np.bitwise_count(fps ^ fps[at]).sum(axis=1, dtype=np.int64)
+        closer = left & (d < far)
+        far[closer], via[closer] = d[closer], at
+        at = int(np.argmin(np.where(left, far, 20_000)))
+        if far[at] <= WIDE_BITS:
+            edges.append((int(via[at]), at))
+    return edges
+
+
+def _wide_links(batches):
+    for which, key, f0, f1, f2, f3, reps in _lists(batches):
+        fps = np.column_stack([f0, f1, f2, f3]).view(np.uint64)
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (which[1:] != which[:-1])]))
+        sizes = np.diff(np.append(new, len(key)))
+        two = new[sizes == 2]
+        close = np.bitwise_count(fps[two] ^ fps[two + 1]).sum(axis=1, dtype=np.int64) <= WIDE_BITS
+        a, b = reps[two[close]].tolist(), reps[two[close] + 1].tolist()
+        for start, size in zip(new[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            own = np.arange(start, start + size)
+            if size > LIST:
+                own = own[np.lexsort(fps[own].T)]
+            for k in range(0, max(1, size - LIST // 2), LIST // 2):
+                part = own[k : k + LIST]
+                for x, y in _spanning_tree(fps[part]):
+                    a.append(int(reps[part[x]]))
+                    b.append(int(reps[part[y]]))
+        yield pa.record_batch([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+
+def _shingle_rows(batches, shingle: int):
+    for batch in batches:
+        out = []
+        for text in texts_of(batch):
+            words = text.lower().split()
+            grams = {xxhash.xxh3_64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))}
+            out.append(np.sort(np.fromiter(grams, np.uint64, len(grams)).view(np.int64)))
+        yield pa.record_batch([ids_of(batch), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "grams"])
+
+
+def _similar(batches, similarity: float):
+    for batch in batches:
+        a, b, x, y = (batch.column(batch.schema.get_field_index(n)) for n in ("a", "b", "x", "y"))
+        good = []
+        for p, q in zip(x, y, strict=True):
+            p, q = np.asarray(p.values), np.asarray(q.values)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            good.append(both >= similarity * (len(p) + len(q) - both))
+        yield pa.record_batch([a, b], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for every row: classes over pairs whose word shingles have the Jaccard similarity.
+
+    Texts with the same words, A-Z lower-cased, are one class; null and empty texts are such texts.
+    component_id is the smallest doc_id of the class, null where it has none.
+    """
+    frame, n = doc_frame(docs, id_col, text_col), partitions(docs.sparkSession)
+    rows = cut(frame.mapInArrow(_wide_rows, "doc_id long, k1 long, k2 long, f0 long, f1 long, f2 long, f3 long"), "wide-fingerprints")
+    reps = cut(rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), *(F.min(f"f{k}").alias(f"f{k}") for k in range(4))), "wide-reps")
+    byte = lambda p: F.shiftrightunsigned(f"f{p // 8}", 8 * (p % 8)).bitwiseAND(F.lit(255))
+    keys = F.array(*[sum((F.shiftleft(byte(p), 8 * i) for i, p in enumerate(places) if i), byte(places[0])) for places in position_sets()])
+    postings = reps.where("rep is not null").select("f0", "f1", "f2", "f3", "rep", F.posexplode(keys).alias("positions", "key")).select("positions", "key", "f0", "f1", "f2", "f3", "rep")
+    found = postings.repartition(n, "positions", "key").sortWithinPartitions("positions", "key", "rep").mapInArrow(_wide_links, "a long, b long")
+    pairs = cut(found.where("a <> b").distinct(), "wide-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    grams = frame.join(wanted, "doc_id", "left_semi").mapInArrow(lambda b: _shingle_rows(b, shingle), "doc_id long, grams array<long>").groupBy("doc_id").agg(F.first("grams").alias("grams"))
+    grams = cut(grams, "wide-grams")
+    both = pairs.join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
+    tree = components(both.select("a", "b", "x", "y").mapInArrow(lambda b: _similar(b, similarity), "a long, b long"))
+    classes = cut(reps.join(tree, reps.rep == tree.child, "left").select("k1", "k2", F.coalesce("parent", "rep").alias("component_id")), "wide-classes")
+    return rows.join(classes, ["k1", "k2"]).select("doc_id", "component_id")
+
+
+def keep_one_per_class(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the row of the smallest id of each class of similar texts; rows that repeat that id stay together."""
+    kept = similar_classes(docs, shingle, similarity, id_col, text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
     return docs.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
 
 

@@ -1,14 +1,13 @@
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rangescan.llm.decontamination import _cleaned, automata, words_of
 from rangescan.llm.queries import ORACLES, QUERIES
 from rangescan.llm.toxicity import fit
 from tests.llm.test_line_dedup import plain as plain_lines
-from tests.llm.test_simhash import classes, plain as plain_fingerprint
-
-from pyspark.sql import functions as F
+from tests.llm.test_simhash import similar
 
 
 def test_run_equals_the_stages_by_brute_force(spark, docs, sf_dir):
@@ -17,7 +16,7 @@ def test_run_equals_the_stages_by_brute_force(spark, docs, sf_dir):
     rows = [r for r in rows if model.probability(words_of(r[2].encode())) < 0.7]
     lines = plain_lines(rows, 10)
     rows = [(d, lines[d, t][2]) for d, _, t in rows if lines[d, t][1] < lines[d, t][0]]
-    kept = set(classes([(d, plain_fingerprint(t, 5)) for d, t in rows]))
+    kept = set(similar(rows))
     blocks = automata(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     rows = [(d, _cleaned(blocks, t.encode(), 0.5)) for d, t in rows if d in kept]
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 from rangescan.llm.components import components
-from rangescan.llm.simhash import _near, fingerprint, keep_one_per_class, link_fingerprints, simhash_classes
+from rangescan.llm.simhash import LIST, SET_BYTES, WIDE_BITS, _near, _spanning_tree, fingerprint, keep_one_per_class, link_fingerprints, position_sets, similar_classes, simhash_classes
 
 
 def lower(text):
@@ -76,11 +76,74 @@ def test_lists_long_and_short_find_the_same(spark):
     assert [tree.get(k, k) for k in range(len(fps))] == want and len(x) == len(fps)
 
 
+def similar(rows, size=5, least=0.8):
+    """Smallest id of the class of each (id, text), all pairs compared by their shingles."""
+    texts = [tuple(lower(t).encode().split()) for _, t in rows]
+    grams = {w: {w[i : i + size] for i in range(max(1, len(w) - size + 1))} for w in set(texts)}
+    names = list(grams)
+    low = {w: min((d for (d, _), x in zip(rows, texts, strict=True) if x == w and d is not None), default=None) for w in names}
+    joined = {w: w for w in names}
+
+    def find(w):
+        while joined[w] != w:
+            w = joined[w]
+        return w
+
+    for i, v in enumerate(names):
+        for w in names[:i]:
+            if None not in (low[v], low[w]) and len(grams[v] & grams[w]) >= least * len(grams[v] | grams[w]):
+                joined[find(v)] = find(w)
+    best = {}
+    for w in names:
+        if low[w] is not None:
+            best[find(w)] = min(low[w], best.get(find(w), low[w]))
+    return [best.get(find(w)) for w in texts]
+
+
+def test_similar_texts(docs, odd, none):
+    for df in (docs, odd):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        want = Counter(zip([d for d, _ in rows], similar(rows), strict=True))
+        assert Counter(map(tuple, similar_classes(df).collect())) == want
+    assert similar_classes(none).count() == 0
+
+
+def test_planted_near_copies_are_found(spark):
+    """Copies with edits near the bound, a large group of variants, and clean texts of common words."""
+    rng = random.Random(11)
+    word = lambda: rng.choice(["the", "of", "and", "to", "in"]) if rng.random() < 0.3 else f"w{rng.randrange(4000)}"
+    rows, clean = [], []
+    for _ in range(60):
+        base = [word() for _ in range(rng.randint(80, 400))]
+        rows.append((len(rows), " ".join(base)))
+        edits = set(rng.sample(range(len(base)), max(1, len(base) // 60)))
+        rows.append((len(rows), " ".join(f"e{rng.random()}" if i in edits else w for i, w in enumerate(base))))
+    base = [word() for _ in range(300)]
+    for _ in range(200):
+        rows.append((len(rows), " ".join(f"e{rng.random()}" if rng.random() < 0.005 else w for w in base)))
+    for _ in range(100):
+        clean.append(len(rows))
+        rows.append((len(rows), " ".join(word() for _ in range(200))))
+    got = {r.doc_id: r.component_id for r in similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = dict(zip([d for d, _ in rows], similar(rows), strict=True))
+    assert all(got[d] == d for d in clean)
+    assert sum(got[d] == want[d] for d in got) >= 0.99 * len(got) and all(got[d] in (want[d], d) or want[got[d]] == want[d] for d in got)
+
+
+def test_trees_span_what_is_near():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2**63, (3, 4), dtype=np.uint64)
+    fps = np.array([b ^ (np.uint64(1) << rng.integers(0, 63, 4, dtype=np.uint64)) for b in base for _ in range(20)])
+    tree = _spanning_tree(fps)
+    assert len(tree) == 57 and all(a // 20 == b // 20 for a, b in tree)
+    assert len(set(position_sets())) == len(position_sets()) and all(len(s) == SET_BYTES for s in position_sets()) and SET_BYTES == 32 - WIDE_BITS and LIST > 1
+
+
 def test_one_row_of_each_class_stays(docs, odd):
     kept = keep_one_per_class(docs)
     assert kept.columns == docs.columns
-    rows = [(r.doc_id, plain(r.text)) for r in docs.collect()]
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c in classes(rows)})
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(similar(rows)))
     assert keep_one_per_class(odd).columns == odd.columns
 
 
