@@ -21,8 +21,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class stays: that with the smallest id. Words are shingled by five."""
-    return simhash.keep_one_per_class(docs, shingle=5)
+    """One document of each class of near duplicates stays: that with the smallest id.
+
+    Candidates by SimHash, verified: five-word shingles with a Jaccard similarity of 0.8.
+    """
+    return simhash.keep_one_per_class(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
