@@ -27,7 +27,7 @@ from rangescan.llm.tokenizing import encoder
 
 MAGIC, BLOCK = b"DACIDS01", 512
 #: A task starts another shard beyond this many ids, which bounds its memory.
-SHARD_TOKENS = 8_000_000
+SHARD_TOKENS = 2_000_000
 
 
 def pack(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
