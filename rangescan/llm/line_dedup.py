@@ -7,6 +7,11 @@ of at least that many lines, its first member in corpus order is the copy that s
 alone in its interval is finished, and so, one round later, is any whose continuation is: the table
 shrinks to what is repeated.
 
+A repeated run with enough words is the union of the shortest runs with enough words that begin at a line
+of it and the shortest that end at one. Two ranks of 2^t lines that overlap name a run of any length
+from 2^t on, so these shortest runs are looked up, whatever their length, and the doubling ends at the
+longest of them.
+
 A round sorts by range, with the place in the corpus as the last key, so one very common line spreads
 over many tasks; a task numbers its own rows, and only one summary a task goes to the driver, which
 chains intervals that reach across tasks.
@@ -20,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,14 +34,31 @@ from rangescan.llm.common import cut, partitions, texts_of
 #: Words that a repeated run needs for its later copies to be deleted.
 MIN_WORDS = 10
 _PLACE = ["doc_id", "d", "line"]
+#: Lines of a run fit into so many bits.
+_LENGTH_BITS = 31
+_LENGTHS = 1 << _LENGTH_BITS
+
 
+def _shortest(words: list[int], min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each line the length of the shortest run from it that has the words, 0 if none, and of that up to it, 0 if none or if it is one of the first."""
+    n = len(words)
+    sizes, at = np.concatenate([[0], np.cumsum(words)]), np.arange(n)
+    ends = np.maximum(np.searchsorted(sizes, sizes[:-1] + min_words), at + 1)
+    ahead = np.where(ends <= n, ends - at, 0)
+    starts = np.minimum(np.searchsorted(sizes, sizes[1:] - min_words, side="right") - 1, at)
+    back = np.where(starts >= 0, at - starts + 1, 0)
+    return ahead, np.where(ahead[starts] == back, 0, back)
 
-def _lines(batches):
+
+def _lines(batches, min_words: int):
     for batch in batches:
         docs, marks = batch.column(0), batch.column(1)
-        which, line, h1, h2 = [], [], [], []
+        which, line, h1, h2, ahead, back = [], [], [], [], [], []
         for k, text in enumerate(texts_of(batch)):
-            for n, part in enumerate(text.split(b"\n")):
+            parts = text.split(b"\n")
+            for out, lengths in zip((ahead, back), _shortest([len(p.split()) for p in parts], min_words), strict=True):
+                out += lengths.tolist()
+            for n, part in enumerate(parts):
                 h = xxhash.xxh3_128_digest(part)
                 which.append(k)
                 line.append(n)
@@ -44,7 +66,7 @@ def _lines(batches):
                 h2.append(h[8:])
         take = pa.array(which, pa.int64())
         longs = [pa.array(np.frombuffer(b"".join(h), "<i8")) for h in (h1, h2)]
-        yield pa.record_batch([docs.take(take), marks.take(take), pa.array(line, pa.int64()), *longs], ["doc_id", "d", "line", "h1", "h2"])
+        yield pa.record_batch([docs.take(take), marks.take(take), pa.array(line, pa.int64()), *longs, pa.array(ahead, pa.int64()), pa.array(back, pa.int64())], ["doc_id", "d", "line", "h1", "h2", "ahead", "back"])
 
 
 def _numbered(batches):
@@ -106,33 +128,44 @@ def _rank(rows: DataFrame) -> DataFrame:
     return done.where("note is null").join(F.broadcast(frame), "part").select(*_PLACE, rank.alias("rank"), (F.col("base") + F.col("idx") == rank).alias("first"), tied.alias("tied"))
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, d, line, length): line runs that stand earlier in the corpus too, the longest from each line.
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, d, line, length): line runs that stand earlier in the corpus too, together all lines of those with ``min_words`` words.
 
-    ``docs`` has (doc_id, d, text); the corpus order is (doc_id, d, line), null ids first. Lengths are the
-    powers of two that the doubling passes; a longer run is the union of two that overlap. Rows with
-    equal doc_id and d are one document.
+    ``docs`` has (doc_id, d, text); the corpus order is (doc_id, d, line), null ids first. Rows with equal
+    doc_id and d are one document.
     """
-    lines = docs.select("doc_id", "d", "text").mapInArrow(_lines, "doc_id long, d long, line long, h1 long, h2 long")
+    lines = docs.select("doc_id", "d", "text").mapInArrow(lambda b: _lines(b, min_words), "doc_id long, d long, line long, h1 long, h2 long, ahead long, back long")
     common = cut(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "common-lines")
     found = lines.join(common, ["h1", "h2"])
     # rows that repeat id and text count once; without any, the join keeps its freedom to split a very common line
     if not docs.groupBy("doc_id", "d").count().where("count > 1").isEmpty():
         found = found.distinct()
+    found = cut(found, "found-lines")
+    wanted = found.where("ahead > 0").select(*_PLACE, F.col("ahead").alias("length")).union(found.where("back > 0").select("doc_id", "d", F.col("line") - F.col("back") + 1, "back"))
+    longest = wanted.agg(F.max("length")).first()[0] or 0
     ranks = _rank(found.select(*_PLACE, F.col("h1").alias("a"), F.col("h2").alias("b")))
     levels, length = [], 1
     while True:
-        levels.append(ranks.where("not first").select(*_PLACE, F.lit(length).cast("long").alias("length")))
         tied = ranks.where("tied").select(*_PLACE, "rank")
-        on = tied.select(F.col("doc_id").alias("_doc"), F.col("d").alias("_d"), (F.col("line") - length).alias("_line"), F.col("rank").alias("b"))
-        pairs = tied.join(on, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("d") == F.col("_d")) & (F.col("line") == F.col("_line"))).select(*_PLACE, F.col("rank").alias("a"), "b")
-        ranks = _rank(pairs)
-        length *= 2
-        if ranks.where("tied").isEmpty():
+        runs = wanted.where((F.col("length") >= length) & (F.col("length") < 2 * length))
+        runs = _at(_at(runs, tied, F.col("line"), "a"), tied, F.col("line") + F.col("length") - length, "b")
+        # the length goes with the key and, as a place may begin several runs, with the line
+        keyed = runs.select("doc_id", "d", (F.col("line") * _LENGTHS + F.col("length")).alias("line"), (F.col("a") * length + F.col("length") - length).alias("a"), "b")
+        levels.append(_rank(keyed).where("not first").select("doc_id", "d", F.shiftright("line", _LENGTH_BITS).alias("line"), F.col("line").bitwiseAND(F.lit(_LENGTHS - 1)).alias("length")))
+        if 2 * length > longest or tied.isEmpty():
             break
+        pairs = _at(tied.withColumnRenamed("rank", "a"), tied, F.col("line") + length, "b")
+        ranks = _rank(pairs.select(*_PLACE, "a", "b"))
+        length *= 2
     return _union(levels).groupBy(*_PLACE).agg(F.max("length").alias("length"))
 
 
+def _at(rows: DataFrame, ranks: DataFrame, line: Column, name: str) -> DataFrame:
+    """``rows`` with the rank at another line of their document; those without one go."""
+    on = ranks.select(F.col("doc_id").alias("_doc"), F.col("d").alias("_d"), F.col("line").alias("_line"), F.col("rank").alias(name))
+    return rows.join(on, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("d") == F.col("_d")) & (line == F.col("_line"))).drop("_doc", "_d", "_line")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -156,7 +189,7 @@ def _without(text: bytes, starts: list[int], lengths: list[int], min_words: int)
 def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted, and columns _lines and _deleted.
 
-    Lines are parted by line feeds. A line goes if it lies in a run of 1, 2, 4, 8 ... lines with at least
+    Lines are parted by line feeds. A line goes if it lies in a run of any number of lines with at least
     ``min_words`` words that also starts at an earlier place of the corpus order (id, then text digest,
     then line). The first copy stays, copies within one document included. Null texts stay null with one
     line and none deleted; rows with equal id and text are one document and get the same result; a text
@@ -164,7 +197,7 @@ def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     """
     doc, d, at = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), docs.columns.index(text_col)
     keyed = docs.select("*", doc.alias("_doc"), d.alias("_d"))
-    runs = repeated_runs(docs.select(doc.alias("doc_id"), d.alias("d"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")))
+    runs = repeated_runs(docs.select(doc.alias("doc_id"), d.alias("d"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), min_words)
     runs = cut(runs.groupBy("doc_id", "d").agg(F.collect_list("line").alias("_starts"), F.collect_list("length").alias("_lengths")), "line-runs")
     runs = runs.select(F.col("doc_id").alias("_rdoc"), F.col("d").alias("_rd"), "_starts", "_lengths")
     joined = keyed.join(runs, F.col("_doc").eqNullSafe(F.col("_rdoc")) & (F.col("_d") == F.col("_rd")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_starts", "_lengths")

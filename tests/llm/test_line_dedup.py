@@ -59,3 +59,34 @@ def test_the_first_copy_stays(spark):
     df = spark.createDataFrame([(5, f"x\n{run}\ny"), (2, f"{run}"), (9, run), (1, "five six seven eight")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in keep_first_lines(df, 6).collect()}
     assert got == {1: "five six seven eight", 2: run, 5: "x\ny"}
+
+
+def every_run(rows, min_words):
+    """{id: lines that go}: all runs of all lengths, in corpus order."""
+    seen, gone = set(), {}
+    for d, text in sorted(rows):
+        x = text.split("\n")
+        words = [len(y.split()) for y in x]
+        gone[d] = set()
+        for i in range(len(x)):
+            for n in range(1, len(x) - i + 1):
+                run = tuple(x[i : i + n])
+                if run in seen and sum(words[i : i + n]) >= min_words:
+                    gone[d].update(range(i, i + n))
+                seen.add(run)
+    return gone
+
+
+def test_runs_of_any_length(spark, monkeypatch):
+    """3 lines of 4 words, 5 to 7 short lines, and random ones: the words count over the whole run."""
+    menu, short = ["one two three four", "five six seven eight", "nine ten eleven twelve"], [f"{k} x" for k in range(7)]
+    rows = [(1, menu), (2, ["a", *menu, "b"]), (3, short), (4, ["c", *short, "d"]), (5, ["e", *short[:5], "f"]), (6, ["g", *short[:4]])]
+    rng = random.Random(2)
+    rows += [(10 + k, [rng.choice(["p q", "r", "", "s t u", "v"]) for _ in range(rng.randint(1, 14))]) for k in range(40)]
+    rows = [(d, "\n".join(x)) for d, x in rows]
+    rows += [(100 + k, "\n".join(["z z"] * 17)) for k in range(3)]
+    monkeypatch.setattr(line_dedup, "partitions", lambda spark: 7)
+    want = every_run(rows, 10)
+    assert [len(want[d]) for d in range(1, 7)] == [0, 3, 0, 7, 5, 0]
+    got = {r.doc_id: r.text for r in deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: "\n".join(y for i, y in enumerate(t.split("\n")) if i not in want[d]) for d, t in rows}
