@@ -5,17 +5,26 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of text that a kernel takes up at a time; as lists of words they need some twenty times as much.
+SLICE_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset on one machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = os.path.join(tempfile.gettempdir(), "rangescan-shared")
         os.makedirs(path, exist_ok=True)
     return path.rstrip("/")
@@ -63,6 +72,18 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return raw(batch.column(batch.schema.get_field_index(name)))
 
 
+def sliced(batches: Iterable[pa.RecordBatch], name: str = "text", most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``most`` bytes of a text column; a longer text is a piece of its own."""
+    most = most or SLICE_BYTES
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0)
+        ends, at = np.cumsum(np.asarray(sizes), dtype=np.int64), 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

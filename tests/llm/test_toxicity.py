@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from rangescan.llm.toxicity import DRIFT, Model, drop_toxic, fit, held_out, maximal_segments, toxicity_scores
+from rangescan.llm.toxicity import DRIFT, LONGEST, Model, Scanner, _below, drop_toxic, fit, held_out, maximal_segments, tokens_of, toxicity_scores
 
 
 def plain(scores):
@@ -81,8 +81,39 @@ def test_real_documents(spark, docs, sf_dir):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in rows if r.score < 0.7)
 
 
+@pytest.mark.parametrize(("sf", "least", "least_lang"), [("0.01", 0.8, 0.0), ("0.1", 0.9, 0.9)])
+def test_toxic_documents_are_found_in_every_language(spark, sf, least, least_lang):
+    """Recall on held-out rows at the score below which 9 of 10 clean ones lie, and what 0.7 keeps and catches."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf{sf}/{t}.parquet") for t in ("documents", "labels"))
+    lang, truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}, {r.doc_id: r.toxic for r in labels.collect()}
+    rows = [(truth[r.doc_id], r.score, lang[r.doc_id]) for r in toxicity_scores(docs, fit(docs, labels)).where(held_out("doc_id")).collect() if r.doc_id in truth]
+
+    def recall(part):
+        clean = sorted(s for t, s, _ in part if not t)
+        at = clean[int(0.9 * len(clean))]
+        return sum(s > at for t, s, _ in part if t) / max(1, sum(t for t, *_ in part))
+
+    assert recall(rows) >= least
+    assert all(recall([r for r in rows if r[2] == x]) >= least_lang for x in set(lang.values()))
+    assert sum(s < 0.7 for t, s, _ in rows if not t) >= 0.9 * sum(not t for t, *_ in rows)
+    assert sum(s >= 0.7 for t, s, _ in rows if t) >= (least - 0.05) * sum(t for t, *_ in rows)
+
+
+def test_tokens_are_found_where_they_stand():
+    rng = random.Random(4)
+    words = [bytes(rng.choices(b"ab", k=rng.randint(1, 2 * LONGEST))) for _ in range(300)]
+    tokens = rng.sample(sorted({t for w in words for t in tokens_of(w)}), 200)
+    scanner = Scanner(tokens)
+    want = [(k, t) for k, w in enumerate(words) for t in tokens_of(w) if t in tokens]
+    assert [(k, tokens[t]) for k, t in zip(*map(list, scanner.find(words)), strict=True)] == want
+    keys = [{t for x in pair if x >= 0 for t in _below(tokens[x])} & set(tokens) for pair in zip(*map(list, scanner.keys(words)), strict=True)]
+    each = [{t for p, t in want if p == k} for k in range(len(words))]
+    assert keys == [x for x in each if x]
+    assert not len(scanner.find([])[0]) and not len(Scanner([]).keys(words)[0])
+
+
 def test_segments_are_reported(spark):
-    model = Model({b"vile": 6.0 - DRIFT}, 1.0, 0.0, [0.0, 1.0, 0.0, 0.0])
+    model = Model({b"vile ": 6.0 - DRIFT}, 1.0, 0.0, [0.0, 1.0, 0.0, 0.0])
     docs = spark.createDataFrame([(1, "a b vile vile c " + "d " * 60 + "vile"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.segments for r in toxicity_scores(docs, model, with_segments=True).collect()}
     assert [(s.start, s.end) for s in got[1]] == [(2, 4), (65, 66)] and got[1][0].e_value < got[1][1].e_value and got[2] == []
