@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangescan.llm.common import doc_frame, ids_of, texts_of
+from rangescan.llm.common import doc_frame, ids_of, sliced, texts_of
 
 #: Words of a benchmark that one automaton holds (about 100 bytes a word); more words take more automata.
 BLOCK_WORDS = 1_000_000
@@ -183,7 +183,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
     def run(batches):
         blocks = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text in texts_of(batch):
                 words = words_of(text)
@@ -236,7 +236,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, text_col):
             old = batch.column(at).cast(pa.binary()).to_pylist()
             new = [t if t is None else _cleaned(shared.value, t, max_coverage) for t in old]
             keep = pa.array([t is None or n is not None for t, n in zip(old, new, strict=True)], pa.bool_())

@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangescan.llm.common import cut, doc_frame, ids_of, partitions, texts_of
+from rangescan.llm.common import cut, doc_frame, ids_of, partitions, sliced, texts_of
 
 #: Bytes of the rolling window; a cut is made where its hash has CUT_BITS zero bits; bytes of a chunk at least and at most.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 11, 512, 16_384
+#: Digests that a task remembers before it starts anew.
+SEEN = 500_000
 #: Odd multiplier of the rolling hash.
 FACTOR = np.uint32(2_654_435_761)
 
@@ -65,16 +67,18 @@ def _digest(chunk: bytes, size: int) -> bytes:
 
 
 def _recipes(batches, size: int):
-    for batch in batches:
+    for batch in sliced(batches):
         texts = [t.lower() for t in texts_of(batch)]  # bytes: A-Z only
         lists = [[_digest(c, size) for c in chunks(t)] for t in texts]
         yield pa.record_batch([ids_of(batch), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "text_sha256", "recipe"])
 
 
 def _chunk_rows(batches, size: int):
-    """(digest, bytes), each content once per task."""
+    """(digest, bytes), each content once per task, or once per SEEN contents of it."""
     seen: set[bytes] = set()
-    for batch in batches:
+    for batch in sliced(batches):
+        if len(seen) > SEEN:
+            seen.clear()
         keys, parts = [], []
         for t in texts_of(batch):
             for c in chunks(t.lower()):
@@ -124,7 +128,7 @@ def verified_recipes(docs: DataFrame, digest_bytes: int = 16, id_col: str = "doc
 
 
 def _spread(batches, size: int):
-    for batch in batches:
+    for batch in sliced(batches):
         rows = [(d, hashlib.sha256(t).hexdigest(), k, _digest(c, size), c) for d, t in zip(ids_of(batch).to_pylist(), (x.lower() for x in texts_of(batch)), strict=True) for k, c in enumerate(chunks(t))]
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         yield pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "text_sha256", "place", "digest", "content"])

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangescan.llm.common import cut, partitions, texts_of
+from rangescan.llm.common import cut, partitions, sliced, texts_of
 
 #: Words that a repeated run needs for its later copies to be deleted.
 MIN_WORDS = 10
@@ -51,7 +51,7 @@ def _shortest(words: list[int], min_words: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _lines(batches, min_words: int):
-    for batch in batches:
+    for batch in sliced(batches):
         docs, marks = batch.column(0), batch.column(1)
         which, line, h1, h2, ahead, back = [], [], [], [], [], []
         for k, text in enumerate(texts_of(batch)):

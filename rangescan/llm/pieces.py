@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rangescan.llm.common import doc_frame, ids_of, texts_of
+from rangescan.llm.common import doc_frame, ids_of, sliced, texts_of
 
 SPACE = "▁"
 #: Chunks a worker keeps before it starts anew: about 250 bytes each.
@@ -204,7 +204,7 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches):
         m = model(path)
         first, last = np.array([m.bos], "<u4").tobytes(), np.array([m.eos], "<u4").tobytes()
-        for batch in batches:
+        for batch in sliced(batches):
             n, shas, back, kept, texts = [], [], [], [], []
             for text in texts_of(batch):
                 ids = first + m.encode_bytes(text.decode("utf-8")) + last

@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangescan.llm.common import cut, doc_frame, fresh_dir, ids_of, texts_of
+from rangescan.llm.common import cut, doc_frame, fresh_dir, ids_of, sliced, texts_of
 from rangescan.llm.tokenizing import encoder
 
+#: Digests that a task remembers before it starts anew.
+SEEN = 500_000
 CACHE = T.StructType([T.StructField("tokenizer", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
 
@@ -32,16 +34,18 @@ def normalised(text: bytes) -> bytes:
 
 
 def _digests(batches, strip: bool):
-    for batch in batches:
+    for batch in sliced(batches):
         texts = texts_of(batch)
         keys = [hashlib.blake2b(normalised(t) if strip else t, digest_size=16).digest() for t in texts]
         yield pa.record_batch([ids_of(batch), pa.array([len(t) for t in texts], pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_bytes", "digest"])
 
 
 def _first_texts(batches, strip: bool):
-    """Each content once per task, so a hot group of copies is not moved row by row."""
+    """Each content once per task (or per SEEN contents of it), so a hot group of copies is not moved row by row."""
     seen: set[bytes] = set()
-    for batch in batches:
+    for batch in sliced(batches):
+        if len(seen) > SEEN:
+            seen.clear()
         texts, keys, kept = texts_of(batch), [], []
         for t in texts:
             t = normalised(t) if strip else t
@@ -56,7 +60,9 @@ def _first_texts(batches, strip: bool):
 def _counts(batches, path: str):
     seen: set[bytes] = set()
     enc = encoder(path)
-    for batch in batches:
+    for batch in sliced(batches):
+        if len(seen) > SEEN:
+            seen.clear()
         keys, texts = [], []
         for k, t in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
             if k not in seen:
