@@ -84,6 +84,44 @@ def sliced(batches: Iterable[pa.RecordBatch], name: str = "text", most: int | No
             at = stop
 
 
+def groups(batches: Iterable[pa.RecordBatch], keys: int, arrow: bool = False) -> Iterator:
+    """Columns (or, with ``arrow``, batches) of a stream sorted by its first ``keys`` columns, in pieces that hold whole groups.
+
+    What waits for the end of a group is put together once, so a long group costs no more than its rows.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def out():
+        whole = pa.concat_batches(held) if len(held) > 1 else held[0]
+        return whole if arrow else [np.asarray(c) for c in whole.columns]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(c) for c in batch.columns[:keys]]
+        start = int(np.argmax(np.logical_and.reduce([c == c[-1] for c in cols])))  # the last group begins here
+        if held and (start or any(c[0] != h[-1].as_py() for c, h in zip(cols, held[-1].columns[:keys], strict=True))):
+            if start:
+                held.append(batch.slice(0, start))
+            yield out()
+            held = []
+        elif start:
+            held.append(batch.slice(0, start))
+            yield out()
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield out()
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores added until no column has it."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

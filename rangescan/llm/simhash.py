@@ -20,8 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangescan.llm.common import cut, doc_frame, ids_of, partitions, texts_of
+from rangescan.llm.common import cut, doc_frame, free_name, groups, ids_of, partitions, sliced, texts_of
 from rangescan.llm.components import components
+from rangescan.llm.similar_sets import grams_of, links_between
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 #: Hashes whose bits are counted at a time, for very long texts.
@@ -54,7 +55,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     """(doc_id, fp): the fingerprint as a signed long."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             fp = np.array([fingerprint(t, shingle) for t in texts_of(batch)], np.uint64).view(np.int64)
             yield pa.record_batch([ids_of(batch), pa.array(fp)], ["doc_id", "fp"])
 
@@ -103,26 +104,8 @@ def _forest(reps: list[int], i: np.ndarray, j: np.ndarray) -> tuple[list[int], l
     return a, b
 
 
-def _lists(batches):
-    """Columns of a stream sorted by its first two, in pieces that hold whole lists (rows equal in both)."""
-    rest = None
-    for batch in batches:
-        cols = [np.asarray(c) for c in batch.columns]
-        rest = cols if rest is None else [np.concatenate(p) for p in zip(rest, cols, strict=True)]
-        if not len(rest[0]):
-            rest = None
-            continue
-        same = (rest[0] == rest[0][-1]) & (rest[1] == rest[1][-1])
-        done = int(np.argmax(same))  # the last list starts here and waits for the next batch
-        if done:
-            yield [c[:done] for c in rest]
-        rest = [c[done:] for c in rest]
-    if rest is not None:
-        yield rest
-
-
 def _links(batches, max_bits: int):
-    for cols in _lists(batches):
+    for cols in groups(batches, 2):
         yield from _linked(cols, max_bits)
 
 
@@ -170,8 +153,9 @@ def simhash_classes(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 #
 # Texts whose 5-word shingles have a Jaccard similarity of 0.8 differ in some 15 % of the bits of a SimHash
 # of these shingles: more than one bit a byte, so no number of equal bytes is guaranteed at any length. But
-# they differ in some 7 % of the bits of a SimHash of their distinct words. So candidates come from 256 bits
-# over the distinct words, by the same index over byte positions, and are verified on the shingles.
+# they differ in some 7 % of the bits of a SimHash of their distinct words. So first candidates come from 256
+# bits over the distinct words, by the same index over byte positions, and are verified on the shingles. They
+# give most of each class; what they leave between two classes is found exactly (similar_sets).
 
 #: Bytes of the wide fingerprint; bits in which candidates may differ; bytes of a position set, the guaranteed equal ones.
 WIDE_BYTES, WIDE_BITS = 32, 28
@@ -210,7 +194,7 @@ def wide_fingerprint(words: list[bytes]) -> np.ndarray:
 
 
 def _wide_rows(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         words = [t.lower().split() for t in texts_of(batch)]
         joined = [b" ".join(w) for w in words]
         keys = [pa.array(np.array([f(j) for j in joined], np.uint64).view(np.int64)) for f in (xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest)]
@@ -239,7 +223,7 @@ def _spanning_tree(fps: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _wide_links(batches):
-    for which, key, f0, f1, f2, f3, reps in _lists(batches):
+    for which, key, f0, f1, f2, f3, reps in groups(batches, 2):
         fps = np.column_stack([f0, f1, f2, f3]).view(np.uint64)
         new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (which[1:] != which[:-1])]))
         sizes = np.diff(np.append(new, len(key)))
@@ -259,13 +243,8 @@ def _wide_links(batches):
 
 
 def _shingle_rows(batches, shingle: int):
-    for batch in batches:
-        out = []
-        for text in texts_of(batch):
-            words = text.lower().split()
-            grams = {xxhash.xxh3_64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))}
-            out.append(np.sort(np.fromiter(grams, np.uint64, len(grams)).view(np.int64)))
-        yield pa.record_batch([ids_of(batch), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "grams"])
+    for batch in sliced(batches):
+        yield pa.record_batch([ids_of(batch), pa.array([grams_of(t, shingle).view(np.int64) for t in texts_of(batch)], pa.list_(pa.int64()))], ["doc_id", "grams"])
 
 
 def _similar(batches, similarity: float):
@@ -283,7 +262,11 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """(doc_id, component_id) for every row: classes over pairs whose word shingles have the Jaccard similarity.
 
     Texts with the same words, A-Z lower-cased, are one class; null and empty texts are such texts.
-    component_id is the smallest doc_id of the class, null where it has none.
+    component_id is the smallest doc_id of the class, null where it has none. Texts whose smallest id is the
+    same are one. Repeated rows stay; an empty table gives an empty table; other columns are ignored.
+
+    SimHash candidates are verified and give classes; then ``links_between`` finds every pair that is still
+    between two classes.
     """
     frame, n = doc_frame(docs, id_col, text_col), partitions(docs.sparkSession)
     rows = cut(frame.mapInArrow(_wide_rows, "doc_id long, k1 long, k2 long, f0 long, f1 long, f2 long, f3 long"), "wide-fingerprints")
@@ -297,15 +280,25 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     grams = frame.join(wanted, "doc_id", "left_semi").mapInArrow(lambda b: _shingle_rows(b, shingle), "doc_id long, grams array<long>").groupBy("doc_id").agg(F.first("grams").alias("grams"))
     grams = cut(grams, "wide-grams")
     both = pairs.join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
-    tree = components(both.select("a", "b", "x", "y").mapInArrow(lambda b: _similar(b, similarity), "a long, b long"))
+    links = cut(both.select("a", "b", "x", "y").mapInArrow(lambda b: _similar(b, similarity), "a long, b long"), "wide-links")
+    tree = components(links)
+    members = reps.where("rep is not null").join(tree, reps.rep == tree.child, "left").select("rep", F.coalesce("parent", "rep").alias("class")).distinct()
+    members = members.join(members.groupBy("class").agg(F.count("*").alias("size")), "class")
+    texts = cut(frame.join(members, frame.doc_id == members.rep).select("rep", "class", "size", "text"), "wide-texts")
+    tree = components(links.union(links_between(texts, shingle, similarity)))
     classes = cut(reps.join(tree, reps.rep == tree.child, "left").select("k1", "k2", F.coalesce("parent", "rep").alias("component_id")), "wide-classes")
     return rows.join(classes, ["k1", "k2"]).select("doc_id", "component_id")
 
 
 def keep_one_per_class(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the row of the smallest id of each class of similar texts; rows that repeat that id stay together."""
-    kept = similar_classes(docs, shingle, similarity, id_col, text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    """``docs`` with the row of the smallest id of each class of similar texts.
+
+    Rows that repeat that id stay together; null and empty texts are one class; rows without an id stay only
+    where their whole class has none. Columns may have any names; an empty table stays empty.
+    """
+    name = free_name("keep", docs.columns)
+    kept = similar_classes(docs, shingle, similarity, id_col, text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(name)), "left_semi")
 
 
 def hex_fingerprint(fp):

@@ -3,10 +3,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
+from rangescan.llm import similar_sets
 from rangescan.llm.components import components
 from rangescan.llm.simhash import LIST, SET_BYTES, WIDE_BITS, _near, _spanning_tree, fingerprint, keep_one_per_class, link_fingerprints, position_sets, similar_classes, simhash_classes
+from rangescan.llm.similar_sets import links_between
 
 
 def lower(text):
@@ -130,6 +133,47 @@ def test_planted_near_copies_are_found(spark):
     assert sum(got[d] == want[d] for d in got) >= 0.99 * len(got) and all(got[d] in (want[d], d) or want[got[d]] == want[d] for d in got)
 
 
+def test_groups_of_variants_have_their_true_classes(spark):
+    """250 variants of a text each, of which few pairs are similar, and short texts with a word more."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(3000)}"
+    rows = []
+    for share in (0.012, 0.02):
+        base = [word() for _ in range(200)]
+        for _ in range(250):
+            own = share * rng.random() * 3
+            rows.append((len(rows), " ".join(f"e{rng.randrange(10**6)}" if rng.random() < own else w for w in base)))
+    for _ in range(120):  # 9 to 16 words: one word more leaves a similarity of 0.8 or more
+        base = [word() for _ in range(rng.randint(9, 16))]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base, word()]))]
+    base = [word() for _ in range(300)]  # the same words in another order: same fingerprint, not similar
+    for _ in range(40):
+        rows.append((len(rows), " ".join(base)))
+        base = base[150:] + base[:100] + rng.sample(base[100:150], 50)
+    rows += [(len(rows) + k, " ".join([*(word() for _ in range(40)), *base])) for k in range(60)]  # a passage that many share
+    got = {r.doc_id: r.component_id for r in similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d] for d, _ in rows] == similar(rows)
+
+
+@pytest.mark.parametrize("table", [False, True])
+def test_links_are_found_without_any_candidates(spark, monkeypatch, table):
+    """Every text its own class: small blocks, long lists over several tasks, and any order of the shingles."""
+    rng, low = random.Random(6), np.random.default_rng(1).random(1 << similar_sets.BITS) < 0.5
+    if table:
+        monkeypatch.setattr(similar_sets, "_frequent", lambda texts, shingle: low)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(d, " ".join(f"e{rng.randrange(99)}" if rng.random() < 0.02 else w for w in base[: rng.randint(40, 60)])) for d in range(120)]
+    rows += [(120 + d, " ".join(rng.choices("abcdef", k=rng.randint(0, 9)))) for d in range(80)]
+    want = similar(rows)
+    classes = [(d, c % 9, 30, t) for (d, t), c in zip(rows, range(len(rows)), strict=True)]  # classes that mean nothing
+    links = links_between(spark.createDataFrame([(d, d, 1, t) for d, t in rows], "rep long, class long, size long, text string"), 5, 0.8, 7, 500)
+    tree = {r.child: r.parent for r in components(links).collect()}
+    assert all(tree.get(d, d) == c for (d, _), c in zip(rows, want, strict=True))
+    grams = {d: set(similar_sets.grams_of(t.encode(), 5).tolist()) for d, t in rows}
+    for r in links_between(spark.createDataFrame(classes, "rep long, class long, size long, text string"), 5, 0.8, 7, 500).collect():
+        assert len(grams[r.a] & grams[r.b]) >= 0.8 * len(grams[r.a] | grams[r.b]) and r.a % 9 != r.b % 9
+
+
 def test_trees_span_what_is_near():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, (3, 4), dtype=np.uint64)
