@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangescan.llm.common import cut, partitions, sliced, texts_of
+from rangescan.llm.common import bounded_batches, cut, free_name, partitions, sliced, texts_of
 
 #: Words that a repeated run needs for its later copies to be deleted.
 MIN_WORDS = 10
@@ -187,24 +187,28 @@ def _without(text: bytes, starts: list[int], lengths: list[int], min_words: int)
 
 
 def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with later copies of repeated line runs deleted, and columns _lines and _deleted.
+    """``docs`` with later copies of repeated line runs deleted, and columns _lines and _deleted (see ``count_columns``).
 
     Lines are parted by line feeds. A line goes if it lies in a run of any number of lines with at least
     ``min_words`` words that also starts at an earlier place of the corpus order (id, then text digest,
     then line). The first copy stays, copies within one document included. Null texts stay null with one
     line and none deleted; rows with equal id and text are one document and get the same result; a text
-    that is a later copy as a whole becomes empty.
+    that is a later copy as a whole becomes empty. An empty table gives an empty table; other columns may
+    have any names.
     """
+    bounded_batches(docs.sparkSession)
+    names, width = docs.columns, len(docs.columns)
+    key, digest, run_key, run_digest, starts, lengths = (free_name(x, names) for x in ("doc_key", "doc_digest", "run_key", "run_digest", "run_starts", "run_lengths"))
     doc, d, at = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), docs.columns.index(text_col)
-    keyed = docs.select("*", doc.alias("_doc"), d.alias("_d"))
+    keyed = docs.select("*", doc.alias(key), d.alias(digest))
     runs = repeated_runs(docs.select(doc.alias("doc_id"), d.alias("d"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), min_words)
-    runs = cut(runs.groupBy("doc_id", "d").agg(F.collect_list("line").alias("_starts"), F.collect_list("length").alias("_lengths")), "line-runs")
-    runs = runs.select(F.col("doc_id").alias("_rdoc"), F.col("d").alias("_rd"), "_starts", "_lengths")
-    joined = keyed.join(runs, F.col("_doc").eqNullSafe(F.col("_rdoc")) & (F.col("_d") == F.col("_rd")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_starts", "_lengths")
-    names, width = docs.columns, len(docs.columns)
+    runs = cut(runs.groupBy("doc_id", "d").agg(F.collect_list("line").alias("starts"), F.collect_list("length").alias("lengths")), "line-runs")
+    runs = runs.select(F.col("doc_id").alias(run_key), F.col("d").alias(run_digest), F.col("starts").alias(starts), F.col("lengths").alias(lengths))
+    joined = keyed.join(runs, F.col(key).eqNullSafe(F.col(run_key)) & (F.col(digest) == F.col(run_digest)), "left").select(*[F.col(f"`{c}`") for c in names], starts, lengths)
+    lines_col, deleted_col = count_columns(names)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, text_col):
             old = batch.column(at).cast(pa.binary()).to_pylist()
             new, lines, gone = [], [], []
             for text, starts, lengths in zip(old, batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True):
@@ -214,20 +218,30 @@ def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
                 gone.append(g)
             kind = batch.schema.field(at).type
             cols = [pa.array(new, pa.binary()).cast(kind) if k == at else batch.column(k) for k in range(width)]
-            yield pa.record_batch([*cols, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "_lines", "_deleted"])
+            yield pa.record_batch([*cols, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=[*names, lines_col, deleted_col])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lines", T.LongType()), T.StructField("_deleted", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lines_col, T.LongType()), T.StructField(deleted_col, T.LongType())])
     return joined.mapInArrow(run, schema)
 
 
+def count_columns(names: list[str]) -> tuple[str, str]:
+    """Names of the columns with a document's lines and deleted lines: underscores are added until no other column has them."""
+    return free_name("_lines", names), free_name("_deleted", names)
+
+
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_lines, n_deleted, text_sha256 of what stays) for every row."""
+    """(doc_id, n_lines, n_deleted, text_sha256 of what stays) for every row; null texts have one line, and an empty text's digest."""
     rows = deduplicate_lines(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), min_words)
     return rows.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def keep_first_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with later copies deleted; rows of which nothing stays go. Columns stay as they are."""
+    """``docs`` with later copies deleted; rows of which nothing stays go.
+
+    Columns stay as they are and may have any names; null texts stay null; rows that repeat have one fate; an
+    empty table stays empty.
+    """
+    lines, deleted = count_columns(docs.columns)
     rows = deduplicate_lines(docs, min_words, id_col, text_col)
-    return rows.where("_deleted < _lines").drop("_lines", "_deleted")
+    return rows.where(F.col(deleted) < F.col(lines)).drop(lines, deleted)
 

@@ -1,5 +1,5 @@
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,20 +9,23 @@ from rangescan.llm.line_dedup import deduplicate_lines, keep_first_lines, line_r
 
 
 def plain(rows, min_words):
-    """{(id, text): (lines, deleted, rest)} by listing all windows of 1, 2, 4 ... lines in corpus order; rows: (id, digest, text)."""
+    """{(id, text): (lines, deleted, rest)}: all runs of all lengths in corpus order; rows: (id, digest, text).
+
+    An index by line of earlier places; from each, the longest run that an earlier place begins with too.
+    """
     order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     lines = [(d, t, t.split("\n")) for d, _, t in order]
-    gone, size = {k: set() for k in range(len(lines))}, 1
-    while size <= max((len(x) for *_, x in lines), default=0):
-        seen = set()
-        for k, (_, _, x) in enumerate(lines):
-            for i in range(len(x) - size + 1):
-                run = tuple(x[i : i + size])
-                if run not in seen:
-                    seen.add(run)
-                elif sum(len(y.encode().split()) for y in run) >= min_words:
-                    gone[k].update(range(i, i + size))
-        size *= 2
+    gone, earlier = {k: set() for k in range(len(lines))}, defaultdict(list)
+    for k, (_, _, x) in enumerate(lines):
+        words = [len(y.encode().split()) for y in x]
+        for i in range(len(x)):
+            for m, j in earlier[x[i]]:
+                n, y = 0, lines[m][2]
+                while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                    n += 1
+                if sum(words[i : i + n]) >= min_words:
+                    gone[k].update(range(i, i + n))
+            earlier[x[i]].append((k, i))
     return {(d, t): (len(x), len(gone[k]), "\n".join(y for i, y in enumerate(x) if i not in gone[k])) for k, (d, t, x) in enumerate(lines)}
 
 
@@ -61,6 +64,17 @@ def test_the_first_copy_stays(spark):
     assert got == {1: "five six seven eight", 2: run, 5: "x\ny"}
 
 
+def test_any_column_names(spark):
+    """Columns named like the operator's own."""
+    run = "one two three four\nfive six seven eight\nnine ten eleven twelve"
+    rows = [(1, run, 1, 2, "a", 3), (2, f"{run}\nz", 1, 2, "b", 3), (2, f"{run}\nz", 1, 2, "c", 3)]
+    for names in ("_doc long, _lines long, _deleted string, lines long", "doc_key long, run_key long, run_starts string, d long"):
+        df = spark.createDataFrame(rows, f"doc_id long, text string, {names}")
+        got = keep_first_lines(df)
+        assert got.columns == df.columns and sorted(r.text for r in got.collect()) == sorted([run, "z", "z"])
+        assert line_report(df).count() == 3
+
+
 def every_run(rows, min_words):
     """{id: lines that go}: all runs of all lengths, in corpus order."""
     seen, gone = set(), {}
