@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of the batches that go to Python workers.
+BATCH_BYTES = 8 << 20
+_BATCH, _CLEANUP = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that a kernel takes up at a time; as lists of words they need some twenty times as much.
 SLICE_BYTES = 4 << 20
 
@@ -36,11 +39,34 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: ends the lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: ends the lineage, survives lost executors.
+
+    The shuffle files of the job go when it has ended, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = fresh_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``cut`` wrote for tables that no later job reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of at most BATCH_BYTES in this session, unless another bound than Spark's own is set."""
+    if spark.conf.get(_BATCH, None) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
@@ -56,6 +82,7 @@ def partitions(spark: SparkSession) -> int:
 
 def doc_frame(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names; a null text counts as empty. Other columns can't clash."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 

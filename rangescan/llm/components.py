@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangescan.llm.common import cut
+from rangescan.llm.common import cut, discard
 
 
 def _state(links: DataFrame) -> tuple:
@@ -37,7 +37,8 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         least = far.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("low"))
         near = far.join(least, far.child == least.node).select("child", "parent", "low")
         moved = near.where("parent <> low").select(F.col("parent").alias("child"), F.col("low").alias("parent"))
-        links = cut(near.select("child", F.col("low").alias("parent")).union(moved).distinct(), "links")
+        before, links = links, cut(near.select("child", F.col("low").alias("parent")).union(moved).distinct(), "links")
+        discard(before)
         now = _state(links)
         if now == seen:
             return links

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangescan.llm.common import doc_frame, ids_of, sliced, texts_of
+from rangescan.llm.common import bounded_batches, doc_frame, ids_of, sliced, texts_of
 
 #: Words of a benchmark that one automaton holds (about 100 bytes a word); more words take more automata.
 BLOCK_WORDS = 1_000_000
@@ -232,6 +232,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
 
     Columns stay as they are; texts without a window are returned unchanged, null texts stay null.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window, block_words))
     at = docs.columns.index(text_col)
 

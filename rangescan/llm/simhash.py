@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangescan.llm.common import cut, doc_frame, free_name, groups, ids_of, partitions, sliced, texts_of
+from rangescan.llm.common import cut, discard, doc_frame, free_name, groups, ids_of, partitions, sliced, texts_of
 from rangescan.llm.components import components
 from rangescan.llm.similar_sets import grams_of, links_between
 
@@ -281,11 +281,14 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     grams = cut(grams, "wide-grams")
     both = pairs.join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
     links = cut(both.select("a", "b", "x", "y").mapInArrow(lambda b: _similar(b, similarity), "a long, b long"), "wide-links")
+    discard(pairs, grams)
     tree = components(links)
     members = reps.where("rep is not null").join(tree, reps.rep == tree.child, "left").select("rep", F.coalesce("parent", "rep").alias("class")).distinct()
     members = members.join(members.groupBy("class").agg(F.count("*").alias("size")), "class")
     texts = cut(frame.join(members, frame.doc_id == members.rep).select("rep", "class", "size", "text"), "wide-texts")
-    tree = components(links.union(links_between(texts, shingle, similarity)))
+    more = links_between(texts, shingle, similarity)
+    discard(texts)
+    tree = components(links.union(more))
     classes = cut(reps.join(tree, reps.rep == tree.child, "left").select("k1", "k2", F.coalesce("parent", "rep").alias("component_id")), "wide-classes")
     return rows.join(classes, ["k1", "k2"]).select("doc_id", "component_id")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangescan.llm.common import cut, groups, partitions, sliced, texts_of
+from rangescan.llm.common import cut, discard, groups, partitions, sliced, texts_of
 from rangescan.llm.passages import shingle_hashes
 
 #: Byte positions of the count filter.
@@ -203,4 +203,6 @@ def links_between(texts: DataFrame, shingle: int, similarity: float, block: int
     asked = probes.join(blocks, "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), "rep")
     asked = asked.join(grams.select("rep", "grams"), "rep").select("hub", "block", "probe", "rep", "grams")
     at = ["hub", "block"]
-    return members.union(asked).repartition(n, *at).sortWithinPartitions(*at, "probe").mapInArrow(lambda b: _tallied(b, similarity), "a long, b long")
+    links = cut(members.union(asked).repartition(n, *at).sortWithinPartitions(*at, "probe").mapInArrow(lambda b: _tallied(b, similarity), "a long, b long"), "similar-links")
+    discard(lists, grams, probes)
+    return links

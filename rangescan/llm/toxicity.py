@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangescan.llm.common import cut, doc_frame, ids_of, raw, sliced, texts_of
+from rangescan.llm.common import bounded_batches, cut, discard, doc_frame, ids_of, raw, sliced, texts_of
 from rangescan.llm.decontamination import words_of
 
 #: Labelled rows that the model is fitted on at most; beyond, those with the smallest hashes of their ids.
@@ -246,6 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, min_docs
         a, b = (sum((F.col(f"docs{k}") for k in ks), F.lit(0)) for ks in (toxic, clean))
         wanted |= (a + b >= min_docs) & (F.abs(_significance(a, b, sum(n_docs[k] for k in toxic), sum(n_docs[k] for k in clean))) >= Z_DOCS)
     rows = tallies.where((F.octet_length("token") > 0) & wanted).orderBy("token").collect()
+    discard(tallies)
     chosen = {bytes(r.token): r for r in rows}
     groups, n_all = _background(frame, list(chosen))
     everywhere: Counter = Counter()
@@ -377,6 +378,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col:
     Null texts count as empty and score what an empty text does. Rows that repeat have one fate; an empty
     table stays empty; columns may have any names.
     """
+    bounded_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
