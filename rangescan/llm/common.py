@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -99,9 +100,30 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return raw(batch.column(batch.schema.get_field_index(name)))
 
 
+#: Tables that a worker keeps from text to text; the end of a task empties them.
+worker_caches: list[dict] = []
+
+
+def tidy() -> None:
+    """Give memory that a task no longer needs back to the system: workers live on from stage to stage."""
+    for cache in worker_caches:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def sliced(batches: Iterable[pa.RecordBatch], name: str = "text", most: int | None = None) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most ``most`` bytes of a text column; a longer text is a piece of its own."""
-    most = most or SLICE_BYTES
+    try:
+        yield from _slices(batches, name, most or SLICE_BYTES)
+    finally:
+        tidy()
+
+
+def _slices(batches: Iterable[pa.RecordBatch], name: str, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0)
         ends, at = np.cumsum(np.asarray(sizes), dtype=np.int64), 0
@@ -116,6 +138,13 @@ def groups(batches: Iterable[pa.RecordBatch], keys: int, arrow: bool = False) ->
 
     What waits for the end of a group is put together once, so a long group costs no more than its rows.
     """
+    try:
+        yield from _groups(batches, keys, arrow)
+    finally:
+        tidy()
+
+
+def _groups(batches: Iterable[pa.RecordBatch], keys: int, arrow: bool) -> Iterator:
     held: list[pa.RecordBatch] = []
 
     def out():

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangescan.llm.common import cut, discard, doc_frame, free_name, groups, ids_of, partitions, sliced, texts_of
+from rangescan.llm.common import cut, discard, doc_frame, free_name, groups, ids_of, partitions, sliced, texts_of, worker_caches
 from rangescan.llm.components import components
 from rangescan.llm.similar_sets import grams_of, links_between
 
@@ -165,6 +165,7 @@ SETS = 64
 #: Longer lists are gone through in windows of so many fingerprints that overlap by half.
 LIST = 1024
 _word_bits: dict[bytes, bytes] = {}
+worker_caches.append(_word_bits)
 
 
 def position_sets(count: int = SETS) -> list[tuple[int, ...]]:
@@ -180,7 +181,7 @@ def position_sets(count: int = SETS) -> list[tuple[int, ...]]:
 def wide_fingerprint(words: list[bytes]) -> np.ndarray:
     """SimHash of 256 bits over the distinct words, as 4 unsigned longs; zeros without words."""
     distinct = list(set(words))
-    if len(_word_bits) > 200_000:
+    if len(_word_bits) > 50_000:
         _word_bits.clear()
     for w in distinct:
         if w not in _word_bits:

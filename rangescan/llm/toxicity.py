@@ -40,7 +40,7 @@ FOLDS = 3
 FLOOR = -5.0
 EULER = 0.5772156649015329
 #: Entries of a task's tables before they are passed on.
-_HELD = 200_000
+_HELD = 100_000
 
 
 def tokens_of(word: bytes) -> list[bytes]:
