@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 #: Bytes of the batches that go to Python workers.
 BATCH_BYTES = 8 << 20
 _BATCH, _CLEANUP = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a table that may be broadcast: some 16 MB of keys.
+SMALL_ROWS = 500_000
 #: Bytes of text that a kernel takes up at a time; as lists of words they need some twenty times as much.
 SLICE_BYTES = 4 << 20
 
@@ -64,6 +66,26 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Tables that lead to a result, deleted together once that has been written."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def cut(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(cut(df, label))
+        return self.tables[-1]
+
+    def discard(self) -> None:
+        discard(*self.tables)
+        self.tables = []
+
+
+def small(table: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it has at most ``most`` rows; a larger one is joined by shuffle."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Have Arrow batches of at most BATCH_BYTES in this session, unless another bound than Spark's own is set."""
     if spark.conf.get(_BATCH, None) in ("67108864b", "64m", "64MB"):

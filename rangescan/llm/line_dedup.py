@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangescan.llm.common import bounded_batches, cut, free_name, partitions, sliced, texts_of
+from rangescan.llm.common import Scratch, bounded_batches, cut, free_name, partitions, sliced, texts_of
 
 #: Words that a repeated run needs for its later copies to be deleted.
 MIN_WORDS = 10
@@ -106,7 +106,7 @@ def _numbered(batches):
         yield out([pa.nulls(1, c.type) for c in held[0]], [False], False, json.dumps({"n": at, "first": first, "end": prev, "tie": tie}))
 
 
-def _rank(rows: DataFrame) -> DataFrame:
+def _rank(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Rank rows (doc_id, d, line, a, b) by (a, b).
 
     Returns (doc_id, d, line, rank, first, tied): rank is the place of the first row of the interval of
@@ -114,7 +114,7 @@ def _rank(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     ordered = rows.select(*_PLACE, "a", "b").repartitionByRange(partitions(spark), "a", "b", *_PLACE).sortWithinPartitions("a", "b", *_PLACE)
-    done = cut(ordered.mapInArrow(_numbered, "doc_id long, d long, line long, idx long, tie long, tied boolean, last boolean, part long, note string"), "line-ranks")
+    done = scratch.cut(ordered.mapInArrow(_numbered, "doc_id long, d long, line long, idx long, tie long, tied boolean, last boolean, part long, note string"), "line-ranks")
     parts = [(r.part, json.loads(r.note)) for r in done.where("note is not null").select("part", "note").orderBy("part").collect()]  # one for each task
     fix, base, end, open_tie = [], 0, None, 0
     for k, (part, x) in enumerate(parts):
@@ -128,22 +128,23 @@ def _rank(rows: DataFrame) -> DataFrame:
     return done.where("note is null").join(F.broadcast(frame), "part").select(*_PLACE, rank.alias("rank"), (F.col("base") + F.col("idx") == rank).alias("first"), tied.alias("tied"))
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, d, line, length): line runs that stand earlier in the corpus too, together all lines of those with ``min_words`` words.
 
     ``docs`` has (doc_id, d, text); the corpus order is (doc_id, d, line), null ids first. Rows with equal
-    doc_id and d are one document.
+    doc_id and d are one document. ``scratch`` gets the tables that the result is read from.
     """
+    scratch = scratch or Scratch()
     lines = docs.select("doc_id", "d", "text").mapInArrow(lambda b: _lines(b, min_words), "doc_id long, d long, line long, h1 long, h2 long, ahead long, back long")
-    common = cut(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "common-lines")
+    common = scratch.cut(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "common-lines")
     found = lines.join(common, ["h1", "h2"])
     # rows that repeat id and text count once; without any, the join keeps its freedom to split a very common line
     if not docs.groupBy("doc_id", "d").count().where("count > 1").isEmpty():
         found = found.distinct()
-    found = cut(found, "found-lines")
+    found = scratch.cut(found, "found-lines")
     wanted = found.where("ahead > 0").select(*_PLACE, F.col("ahead").alias("length")).union(found.where("back > 0").select("doc_id", "d", F.col("line") - F.col("back") + 1, "back"))
     longest = wanted.agg(F.max("length")).first()[0] or 0
-    ranks = _rank(found.select(*_PLACE, F.col("h1").alias("a"), F.col("h2").alias("b")))
+    ranks = _rank(found.select(*_PLACE, F.col("h1").alias("a"), F.col("h2").alias("b")), scratch)
     levels, length = [], 1
     while True:
         tied = ranks.where("tied").select(*_PLACE, "rank")
@@ -151,11 +152,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         runs = _at(_at(runs, tied, F.col("line"), "a"), tied, F.col("line") + F.col("length") - length, "b")
         # the length goes with the key and, as a place may begin several runs, with the line
         keyed = runs.select("doc_id", "d", (F.col("line") * _LENGTHS + F.col("length")).alias("line"), (F.col("a") * length + F.col("length") - length).alias("a"), "b")
-        levels.append(_rank(keyed).where("not first").select("doc_id", "d", F.shiftright("line", _LENGTH_BITS).alias("line"), F.col("line").bitwiseAND(F.lit(_LENGTHS - 1)).alias("length")))
+        levels.append(_rank(keyed, scratch).where("not first").select("doc_id", "d", F.shiftright("line", _LENGTH_BITS).alias("line"), F.col("line").bitwiseAND(F.lit(_LENGTHS - 1)).alias("length")))
         if 2 * length > longest or tied.isEmpty():
             break
         pairs = _at(tied.withColumnRenamed("rank", "a"), tied, F.col("line") + length, "b")
-        ranks = _rank(pairs.select(*_PLACE, "a", "b"))
+        ranks = _rank(pairs.select(*_PLACE, "a", "b"), scratch)
         length *= 2
     return _union(levels).groupBy(*_PLACE).agg(F.max("length").alias("length"))
 
@@ -201,8 +202,9 @@ def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     key, digest, run_key, run_digest, starts, lengths = (free_name(x, names) for x in ("doc_key", "doc_digest", "run_key", "run_digest", "run_starts", "run_lengths"))
     doc, d, at = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), docs.columns.index(text_col)
     keyed = docs.select("*", doc.alias(key), d.alias(digest))
-    runs = repeated_runs(docs.select(doc.alias("doc_id"), d.alias("d"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), min_words)
+    runs = repeated_runs(docs.select(doc.alias("doc_id"), d.alias("d"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), min_words, scratch := Scratch())
     runs = cut(runs.groupBy("doc_id", "d").agg(F.collect_list("line").alias("starts"), F.collect_list("length").alias("lengths")), "line-runs")
+    scratch.discard()
     runs = runs.select(F.col("doc_id").alias(run_key), F.col("d").alias(run_digest), F.col("starts").alias(starts), F.col("lengths").alias(lengths))
     joined = keyed.join(runs, F.col(key).eqNullSafe(F.col(run_key)) & (F.col(digest) == F.col(run_digest)), "left").select(*[F.col(f"`{c}`") for c in names], starts, lengths)
     lines_col, deleted_col = count_columns(names)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangescan.llm.common import cut, discard, doc_frame, free_name, groups, ids_of, partitions, sliced, texts_of, worker_caches
+from rangescan.llm.common import Scratch, cut, discard, doc_frame, free_name, groups, ids_of, partitions, sliced, small, texts_of, worker_caches
 from rangescan.llm.components import components
 from rangescan.llm.similar_sets import grams_of, links_between
 
@@ -276,19 +276,20 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     keys = F.array(*[sum((F.shiftleft(byte(p), 8 * i) for i, p in enumerate(places) if i), byte(places[0])) for places in position_sets()])
     postings = reps.where("rep is not null").select("f0", "f1", "f2", "f3", "rep", F.posexplode(keys).alias("positions", "key")).select("positions", "key", "f0", "f1", "f2", "f3", "rep")
     found = postings.repartition(n, "positions", "key").sortWithinPartitions("positions", "key", "rep").mapInArrow(_wide_links, "a long, b long")
-    pairs = cut(found.where("a <> b").distinct(), "wide-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    grams = frame.join(wanted, "doc_id", "left_semi").mapInArrow(lambda b: _shingle_rows(b, shingle), "doc_id long, grams array<long>").groupBy("doc_id").agg(F.first("grams").alias("grams"))
-    grams = cut(grams, "wide-grams")
+    scratch = Scratch()
+    pairs = scratch.cut(found.where("a <> b").distinct(), "wide-pairs")
+    wanted = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wide-wanted")
+    grams = frame.join(small(wanted), "doc_id", "left_semi").mapInArrow(lambda b: _shingle_rows(b, shingle), "doc_id long, grams array<long>").groupBy("doc_id").agg(F.first("grams").alias("grams"))
+    grams = scratch.cut(grams, "wide-grams")
     both = pairs.join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
     links = cut(both.select("a", "b", "x", "y").mapInArrow(lambda b: _similar(b, similarity), "a long, b long"), "wide-links")
-    discard(pairs, grams)
+    scratch.discard()
     tree = components(links)
     members = reps.where("rep is not null").join(tree, reps.rep == tree.child, "left").select("rep", F.coalesce("parent", "rep").alias("class")).distinct()
-    members = members.join(members.groupBy("class").agg(F.count("*").alias("size")), "class")
-    texts = cut(frame.join(members, frame.doc_id == members.rep).select("rep", "class", "size", "text"), "wide-texts")
+    members = cut(members.join(members.groupBy("class").agg(F.count("*").alias("size")), "class"), "wide-members")
+    texts = cut(frame.join(small(members), frame.doc_id == members.rep).select("rep", "class", "size", "text"), "wide-texts")
     more = links_between(texts, shingle, similarity)
-    discard(texts)
+    discard(texts, members)
     tree = components(links.union(more))
     classes = cut(reps.join(tree, reps.rep == tree.child, "left").select("k1", "k2", F.coalesce("parent", "rep").alias("component_id")), "wide-classes")
     return rows.join(classes, ["k1", "k2"]).select("doc_id", "component_id")

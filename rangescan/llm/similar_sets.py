@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangescan.llm.common import cut, discard, groups, partitions, sliced, texts_of
+from rangescan.llm.common import Scratch, cut, groups, partitions, sliced, small, texts_of
 from rangescan.llm.passages import shingle_hashes
 
 #: Byte positions of the count filter.
@@ -181,11 +181,12 @@ def links_between(texts: DataFrame, shingle: int, similarity: float, block: int
     spark, n = texts.sparkSession, partitions(texts.sparkSession)
     texts = texts.select("rep", "class", "size", "text")
     table = spark.sparkContext.broadcast(_frequent(texts, shingle))
+    scratch = Scratch()
     row = "key long, class long, rep long, size long, n int, place int"
     postings = texts.mapInArrow(lambda b: _posting_rows(b, shingle, similarity, table.value), row)
-    lists = cut(postings.repartition(n, "key").sortWithinPartitions("key", "class").mapInArrow(lambda b: _crowded(b, block), f"{row}, block int, blocks int"), "shingle-lists")
-    wanted = lists.select("rep").distinct()
-    grams = cut(texts.join(wanted, "rep", "left_semi").select("rep", "class", "text").mapInArrow(lambda b: _gram_rows(b, shingle), "rep long, class long, n long, grams array<long>"), "shingle-sets")
+    lists = scratch.cut(postings.repartition(n, "key").sortWithinPartitions("key", "class").mapInArrow(lambda b: _crowded(b, block), f"{row}, block int, blocks int"), "shingle-lists")
+    wanted = scratch.cut(lists.select("rep").distinct(), "shingle-reps")
+    grams = scratch.cut(texts.join(small(wanted), "rep", "left_semi").select("rep", "class", "text").mapInArrow(lambda b: _gram_rows(b, shingle), "rep long, class long, n long, grams array<long>"), "shingle-sets")
 
     def counted(batches):
         for batch in batches:
@@ -195,14 +196,15 @@ def links_between(texts: DataFrame, shingle: int, similarity: float, block: int
     placed = lists.join(counts, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = ["key", "first", "second"]
     placed = placed.select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "class", "rep", "size", "n", "place", "block", "bytes")
-    probes = cut(placed.repartition(n, *pair).sortWithinPartitions(*pair).mapInArrow(lambda b: _met(b, similarity), "rep long, hub long").distinct(), "shingle-probes")
-
-    hubs = grams.join(probes.select(F.col("hub").alias("class")).distinct(), "class", "left_semi").select(F.col("class").alias("hub"), "rep", "n", "grams")
-    blocks = hubs.groupBy("hub").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("blocks"))
-    members = hubs.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("probe"), "rep", "grams")
-    asked = probes.join(blocks, "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), "rep")
-    asked = asked.join(grams.select("rep", "grams"), "rep").select("hub", "block", "probe", "rep", "grams")
+    probes = scratch.cut(placed.repartition(n, *pair).sortWithinPartitions(*pair).mapInArrow(lambda b: _met(b, similarity), "rep long, hub long").distinct(), "shingle-probes")
+
+    hubs = scratch.cut(probes.select("hub").distinct(), "similar-hubs")
+    hubs = grams.select(F.col("class").alias("hub"), "rep", "n", "grams").join(small(hubs), "hub", "left_semi")
+    blocks = scratch.cut(hubs.groupBy("hub").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("blocks")), "similar-blocks")
+    members = hubs.join(small(blocks), "hub").select("hub", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("probe"), "rep", "grams")
+    asked = probes.join(small(blocks), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), "rep")
+    asked = grams.select("rep", "grams").join(small(scratch.cut(asked, "similar-probes")), "rep").select("hub", "block", "probe", "rep", "grams")
     at = ["hub", "block"]
     links = cut(members.union(asked).repartition(n, *at).sortWithinPartitions(*at, "probe").mapInArrow(lambda b: _tallied(b, similarity), "a long, b long"), "similar-links")
-    discard(lists, grams, probes)
+    scratch.discard()
     return links
