@@ -14,6 +14,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from bisect import bisect_left
 from datetime import UTC, datetime, timedelta
 from urllib.parse import urlsplit
 
@@ -26,16 +27,22 @@ from rangescan.llm.common import cut, fresh_dir, open_fs, partitions, raw
 
 #: Bytes after which a task starts another archive; rows of a block of a run; runs merged at a time.
 ARCHIVE_BYTES, BLOCK_ROWS, FAN_IN = 64 << 20, 2048, 256
-#: Keys that all runs together give the driver to choose ranges from, at most about.
-SAMPLES = 20_000
+#: Keys that a run gives the driver to choose ranges from, at most; ending of the file with the first keys of its blocks.
+SAMPLES, KEYS = 64, ".keys"
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 CAPTURE = pa.schema([("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("file", pa.string()), ("offset", pa.int64())])
 CAPTURE_SQL = "url_key string, captured string, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, file string, offset long"
 
 
 def url_key(url: str) -> str:
-    """Sort key of a URL: host labels reversed, no scheme, port 80/443, user, leading www or fragment; lower case."""
-    parts = urlsplit(url if "//" in url[:9] else "//" + url)
+    """Sort key of a URL: host labels reversed, no scheme, port 80/443, user, leading www or fragment; lower case.
+
+    What is no URL (an open bracket in the host, characters that become part of its syntax) keeps its text behind a "!".
+    """
+    try:
+        parts = urlsplit(url if "//" in url[:9] else "//" + url)
+    except ValueError:
+        return "!" + url.lower()
     host = re.sub(r"^www\d*\.", "", (parts.netloc.rpartition("@")[2]).lower())
     host, _, port = host.partition(":")
     query = "&".join(sorted(parts.query.lower().split("&"))) if parts.query else ""
@@ -158,10 +165,12 @@ def _order(row: tuple) -> tuple:
 class Run:
     """A sorted run on disk, read block by block from the first block that may hold ``low``."""
 
-    def __init__(self, path: str, firsts: list[str], low: str | None, high: str | None):
+    def __init__(self, path: str, low: str | None, high: str | None):
         store, name = open_fs(path)
-        self.reader = pa.ipc.open_file(store.open_input_file(name))
-        self.block = max(0, next((k for k, f in enumerate(firsts) if low is not None and f >= low), len(firsts) if low is not None else 0) - 1)
+        self.reader, self.block = pa.ipc.open_file(store.open_input_file(name)), 0
+        if low is not None:
+            with pa.ipc.open_file(store.open_input_file(name + KEYS)) as keys:
+                self.block = max(0, bisect_left(keys.read_all().column(0).to_pylist(), low) - 1)
         self.low, self.high, self.rows = low, high, iter(())
 
     def next(self) -> tuple | None:
@@ -209,7 +218,7 @@ class LoserTree:
 
 
 def _save_run(rows, folder: str) -> tuple[str, list[str], int]:
-    """Write sorted rows as a run; gives its path, the first key of each block and the number of rows."""
+    """Write sorted rows as a run, and the first key of each block beside it; gives its path, some of these keys and the number of rows."""
     store, root = open_fs(folder)
     store.create_dir(root, recursive=True)
     name, firsts, n, held = f"run-{uuid.uuid4().hex}.arrow", [], 0, []
@@ -228,7 +237,10 @@ def _save_run(rows, folder: str) -> tuple[str, list[str], int]:
                 put()
         if held:
             put()
-    return f"{folder}/{name}", firsts, n
+    keys = pa.record_batch([pa.array(firsts, pa.string())], ["first"])
+    with store.open_output_stream(f"{root}/{name}{KEYS}", compression=None) as f, pa.ipc.new_file(f, keys.schema) as w:
+        w.write_batch(keys)
+    return f"{folder}/{name}", firsts[:: -(-len(firsts) // SAMPLES) or 1], n
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -245,7 +257,8 @@ def _runs_of(found: list[tuple[str, list[str], int]]) -> pa.RecordBatch:
 def capture_index(manifest: DataFrame, folder: str, fan_in: int = FAN_IN) -> DataFrame:
     """Captures of all archives of a manifest with (range_no, seq), whose order is that of URL key, timestamp and page.
 
-    Each archive gives one run. The ranges come from a bounded sample of the first places of blocks; the
+    Each archive gives one run. An empty manifest gives an empty table; captures without a page come first
+    among equals. The ranges come from a bounded sample of the first places of blocks; the
     long history of one URL may reach over several ranges, which follow each other.
     """
     spark = manifest.sparkSession
@@ -263,26 +276,26 @@ def capture_index(manifest: DataFrame, folder: str, fan_in: int = FAN_IN) -> Dat
     n_files = manifest.count()
     runs = cut(manifest.select("path").repartition(max(1, min(n_files, 10_000))).mapInArrow(index, _RUN), "capture-runs")
     while (k := runs.count()) > fan_in:
-        groups = runs.withColumn("g", F.pmod(F.xxhash64("path"), F.lit(-(-2 * k // fan_in)))).groupBy("g").agg(F.collect_list(F.struct("path", "firsts")).alias("runs")).select("runs")
+        groups = runs.withColumn("g", F.pmod(F.xxhash64("path"), F.lit(-(-2 * k // fan_in)))).groupBy("g").agg(F.collect_list("path").alias("runs")).select("runs")
 
         def merge(batches):
             for batch in batches:
-                yield _runs_of([_save_run(LoserTree([Run(r["path"], r["firsts"], None, None) for r in group]), folder) for group in batch.column(0).to_pylist()])
+                yield _runs_of([_save_run(LoserTree([Run(path, None, None) for path in group]), folder) for group in batch.column(0).to_pylist()])
 
         runs = cut(groups.mapInArrow(merge, _RUN), "capture-runs")
 
-    every = max(1, (runs.agg(F.sum(F.size("firsts"))).first()[0] or 0) // SAMPLES)
-    keys = sorted(r[0] for r in runs.select(F.posexplode("firsts")).where(F.col("pos") % every == 0).select("col").collect())
+    found = runs.orderBy("path").collect()  # at most fan_in runs with SAMPLES keys each
+    keys = sorted(k for r in found for k in r.firsts)
     n = partitions(spark)
     cuts = sorted({keys[i * len(keys) // n] for i in range(1, n)} - {keys[0]}) if keys else []
-    ranges = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None], strict=True))], "range_no long, low string, high string").repartition(len(cuts) + 1, "range_no")
-    inputs = spark.sparkContext.broadcast([(r.path, list(r.firsts)) for r in runs.orderBy("path").collect()])  # at most fan_in runs
+    ranges = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None], strict=True))], "range_no long, low string, high string").repartitionByRange(len(cuts) + 1, "range_no")
+    inputs = [r.path for r in found]
 
     def histories(batches):
         for batch in batches:
             for no, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held, seq = [], 0
-                for row in LoserTree([Run(path, firsts, low, high) for path, firsts in inputs.value]):
+                for row in LoserTree([Run(path, low, high) for path in inputs]):
                     held.append(row)
                     if len(held) == BLOCK_ROWS:
                         yield _numbered(no, seq, held)
@@ -299,6 +312,10 @@ def _numbered(no: int, seq: int, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, **options) -> DataFrame:
-    """Write archives of ``pages``, read them back and give the merged capture index."""
+    """Write archives of ``pages``, read them back and give the merged capture index.
+
+    Nulls, repeated rows and odd URLs are treated as in ``write_archives`` and ``url_key``; an empty table gives an
+    empty one; columns beside the three named are ignored.
+    """
     folder = folder or fresh_dir(pages.sparkSession, "warc")
     return capture_index(write_archives(pages, folder, least_bytes, **options), f"{folder}/runs")

@@ -29,7 +29,7 @@ def test_loser_tree_merges_any_number_of_runs():
         assert list(LoserTree([Source(r) for r in runs])) == sorted((x for r in runs for x in r), key=warc._order)
 
 
-@pytest.mark.parametrize("url,key", [("http://www.Example.com:80/A/?b=2&a=1#x", "com,example)/a?a=1&b=2"), ("https://user@m.a.org:8080", "org,a,m:8080)/"), ("", ")/"), ("a.b/c", "b,a)/c")])
+@pytest.mark.parametrize("url,key", [("http://www.Example.com:80/A/?b=2&a=1#x", "com,example)/a?a=1&b=2"), ("https://user@m.a.org:8080", "org,a,m:8080)/"), ("", ")/"), ("a.b/c", "b,a)/c"), ("http://[::1/X", "!http://[::1/x"), ("http://[abc]/", "!http://[abc]/"), ("http://a\u2100.com/", "!http://a\u2100.com/")])
 def test_url_keys(url, key):
     assert url_key(url) == key
 
@@ -75,6 +75,13 @@ def test_odd_rows(odd_pages, tmp_path):
     assert archive_pages(odd_pages.where("false")).count() == 0
 
 
+def test_malformed_urls(spark):
+    pages = spark.createDataFrame([(1, "http://[::1/x", "a"), (2, "http://[abc]/", "b"), (3, "http://a\u2100.com/", "a"), (4, "http://a.b/", "c")], "page_id long, url string, html string")
+    got = archive_pages(pages)
+    check(pages, got)
+    ordered(got)
+
+
 def test_many_archives_and_several_rounds(spark, odd_pages, tmp_path, monkeypatch):
     manifest = write_archives(odd_pages, str(tmp_path / "w"), archive_bytes=1)
     assert manifest.count() == odd_pages.count()
