@@ -19,10 +19,10 @@ from pathlib import PurePosixPath
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rangescan.llm.common import cut, doc_frame, fresh_dir, open_fs, partitions, texts_of
+from rangescan.llm.common import cut, doc_frame, fresh_dir, open_fs, partitions, sliced, texts_of
 from rangescan.llm.tokenizing import encoder
 
 MAGIC, BLOCK = b"DACIDS01", 512
@@ -139,9 +139,9 @@ def _write(batches, path: str, folder: str, end_id: int, shard_tokens: int):
         docs, ids, held, seq = [], [], 0, seq + 1
         return row
 
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-            one = enc.id_bytes([text])[0] + end
+    for batch in sliced(batches):
+        for doc, one in zip(batch.column(0).to_pylist(), enc.id_bytes(texts_of(batch)), strict=True):
+            one += end
             docs.append(doc)
             ids.append(one)
             held += len(one) // 4
@@ -163,13 +163,19 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) read from the shards of a manifest."""
+    """(doc_id, start, n_tokens, ids_crc32) read from the shards of a manifest; a manifest without shards gives no rows.
+
+    The driver adds up one number for each part, a writing task; the shards of a part are added up in a task.
+    """
     spark = manifest.sparkSession
     base, rows = 0, []
-    for r in manifest.orderBy("part", "seq").select("path", "n_tokens").toLocalIterator():  # one row for each shard
-        rows.append((r.path, base))
-        base += r.n_tokens
-    files = spark.createDataFrame(rows, "path string, base long").repartition(max(1, len(rows)))
+    for r in manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # one row for each writing task
+        rows.append((r.part, base))
+        base += r.n
+    bases = F.broadcast(spark.createDataFrame(rows, "part long, base long"))
+    before = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    files = manifest.select("part", "seq", "path", F.coalesce(before, F.lit(0)).alias("before")).join(bases, "part").select("path", (F.col("base") + F.col("before")).alias("base"), "part", "seq")
+    files = files.repartitionByRange(partitions(spark), "part", "seq").select("path", "base")
 
     def read(batches):
         for batch in batches:
