@@ -12,7 +12,7 @@ from rangescan.queries import QUERIES
 
 HEADLINE = [
     "range_image_max", "unproject_points", "spherical_bins", "repair_depth_sequential", "smooth_angles_5", "ground_removed", "diff_angle", "labels_angle", "labels_simple",
-    "labels_step2", "cluster_points", "size_filter", "bbox", "bbox_intersections", "object_hull", "segmentation", "transform_points", "nearest_odometry", "asof_odometry",
+    "labels_step2", "labels_native", "cluster_points", "size_filter", "bbox", "bbox_intersections", "object_hull", "segmentation", "transform_points", "nearest_odometry", "asof_odometry",
 ]
 
 

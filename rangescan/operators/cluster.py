@@ -25,11 +25,11 @@ class ClusterParams:
 def size_filter(clusters: DataFrame, min_size: int = 100, max_size: int = 25_000, compat: bool = False) -> DataFrame:
     """Rows of clusters with at least ``min_size`` and at most ``max_size`` points.
 
-    Sizes are counted before anything is moved, and joined back by (frame_id, label).
+    Sizes are counted over the rows of each (frame_id, label), so what gives the clusters runs once.
     """
     low, high = ClusterParams(min_size=min_size, max_size=max_size).limits(compat)
-    sizes = clusters.groupBy("frame_id", "label").agg(F.count("*").alias("size")).where(F.col("size").between(low, high))
-    return clusters.join(sizes.select("frame_id", "label"), ["frame_id", "label"], "left_semi")
+    counted = clusters.withColumn("_size", F.count("*").over(Window.partitionBy("frame_id", "label")))
+    return counted.where(F.col("_size").between(low, high)).drop("_size")
 
 
 def cluster_points(points: DataFrame, point_pixel: DataFrame, labels: DataFrame) -> DataFrame:

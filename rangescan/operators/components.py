@@ -10,17 +10,25 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset and there is one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "rangescan-shared")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` through Parquet in spark.checkpoint.dir, or in a temporary folder where that is unset."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "rangescan-shared")
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """``df`` through Parquet in the shared folder."""
+    path = shared_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def min_labels(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:

@@ -108,6 +108,12 @@ def angle_image(pixels: DataFrame, sensor: Sensor) -> DataFrame:
     return sparse(dense(pixels, sensor).select("frame_id", "col", slopes(F.col("depths"), sensor).alias("angle")), "angle")
 
 
+def smooth_slopes(pixels: DataFrame, sensor: Sensor, window: int) -> DataFrame:
+    """Dense (frame_id, row, col, angle): slopes smoothed down each column, in one pass over column arrays."""
+    columns = dense(pixels, sensor).select("frame_id", "col", slopes(F.col("depths"), sensor).alias("slope"))
+    return sparse(columns.select("frame_id", "col", filtered(F.col("slope"), sensor.rows, smoothing_kernel(window)).alias("angle")), "angle")
+
+
 def smooth_columns(angles: DataFrame, sensor: Sensor, window: int, column: str = "angle") -> DataFrame:
     """Dense (frame_id, row, col, <column>) smoothed down each column."""
     columns = dense(angles.withColumnRenamed(column, "depth"), sensor)

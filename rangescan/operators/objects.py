@@ -90,19 +90,22 @@ def hull(points: np.ndarray) -> np.ndarray:
 
 
 def object_hulls(clusters: DataFrame, least_height: float = LEAST_HEIGHT) -> DataFrame:
-    """(frame_id, label, min_z, height, hull) of clusters at least 0.3 m high; hull: array of struct(x, y)."""
+    """(frame_id, label, min_z, height, hull) of clusters at least 0.3 m high; hull: array of struct(x, y). One call a frame."""
     point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 
     def kernel(key: tuple, table: pa.Table) -> pa.Table:
-        z = table["z"].to_numpy()
-        height = float(z.max() - z.min())
-        names = {"frame_id": pa.int64(), "label": pa.int64(), "min_z": pa.float64(), "height": pa.float64(), "hull": pa.list_(point)}
-        ring = hull(np.column_stack([table["x"].to_numpy(), table["y"].to_numpy()]))
-        row = [key[0].as_py(), key[1].as_py(), float(z.min()), height, [{"x": x, "y": y} for x, y in ring.tolist()]]
-        return pa.table({n: pa.array([v] if height >= least_height else [], t) for (n, t), v in zip(names.items(), row, strict=True)})
+        table = table.sort_by("label")
+        label, z, xy = table["label"].to_numpy(), table["z"].to_numpy(), np.column_stack([table["x"].to_numpy(), table["y"].to_numpy()])
+        starts = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
+        low, high = np.minimum.reduceat(z, starts), np.maximum.reduceat(z, starts)
+        tall = np.flatnonzero(high - low >= least_height)
+        ends = np.append(starts[1:], len(label))
+        rings = [[{"x": x, "y": y} for x, y in hull(xy[starts[k] : ends[k]]).tolist()] for k in tall]
+        cols = [pa.array([key[0].as_py()] * len(tall), pa.int64()), pa.array(label[starts[tall]], pa.int64()), pa.array(low[tall]), pa.array((high - low)[tall]), pa.array(rings, pa.list_(point))]
+        return pa.table(cols, ["frame_id", "label", "min_z", "height", "hull"])
 
     rows = clusters.select(F.col("frame_id").cast("long"), F.col("label").cast("long"), *(F.col(c).cast("double").alias(c) for c in "xyz"))
-    return rows.groupBy("frame_id", "label").applyInArrow(kernel, "frame_id long, label long, min_z double, height double, hull array<struct<x: double, y: double>>")
+    return rows.groupBy("frame_id").applyInArrow(kernel, "frame_id long, label long, min_z double, height double, hull array<struct<x: double, y: double>>")
 
 
 def calibration_residual(pixels: DataFrame, rows: int) -> DataFrame:

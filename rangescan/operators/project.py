@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,12 +68,12 @@ def unproject(pixels: DataFrame, sensor: Sensor, keep_holes: bool = False) -> Da
 
     The ring is the row; point_idx is the pixel's place, row by row. ``keep_holes`` gives holes a point too.
     """
-    spark = pixels.sparkSession
-    seen = pixels if keep_holes else pixels.where(F.col("depth") >= LEAST_DEPTH)
-    # both tables have one line for each row or column of the sensor
-    at = seen.join(F.broadcast(sensor.row_table(spark)), "row").join(F.broadcast(sensor.col_table(spark)), "col")
-    xyz = unproject_xyz(F.col("depth").cast("double"), *(F.col(c) for c in ("row_cos", "row_sin", "col_cos", "col_sin")))
-    return at.select("frame_id", (F.col("row").cast("long") * sensor.cols + F.col("col")).alias("point_idx"), *xyz, F.col("row").alias("ring"), "row", "col", "depth")
+    seen = pixels.where(F.col("row").between(0, sensor.rows - 1) & F.col("col").between(0, sensor.cols - 1))
+    seen = seen if keep_holes else seen.where(F.col("depth") >= LEAST_DEPTH)
+    # sines and cosines are constants of the plan, one for each row or column of the sensor
+    table = [F.get(F.lit([f(a) for a in angles]), F.col(c)) for c, angles in (("row", sensor.row_angles), ("col", sensor.col_angles)) for f in (math.cos, math.sin)]
+    xyz = unproject_xyz(F.col("depth").cast("double"), *table)
+    return seen.select("frame_id", (F.col("row").cast("long") * sensor.cols + F.col("col")).alias("point_idx"), *xyz, F.col("row").alias("ring"), "row", "col", "depth")
 
 
 def points_of_pixel(points: DataFrame, point_pixel: DataFrame, row: int, col: int) -> DataFrame:

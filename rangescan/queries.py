@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rangescan.functions import angles, colors, pose
 from rangescan.operators import cluster, ground, labels, objects, project
+from rangescan.operators.components import shared_folder
 from rangescan.plans.segmentation import Settings, segment
+from rangescan.plans.sensor import Sensor
 from rangescan.plans.views import COLS, ROWS, SENSOR, emb3, ev, pts, px, table
-from rangescan.sources.scans import CORRECTIONS_64, fix_depth, path_number
-from rangescan.sources.sinks import padded, sampled
-from rangescan.streaming.pipeline import nearest_asof, sync_nearest
+from rangescan.sources.scans import CORRECTIONS_64, PNG_SCALE, decode_messages, fix_depth, odometry_pose, path_number, read_depth_png, read_scans
+from rangescan.sources.sinks import from_labelled, message_bytes, padded, sampled, save_images, save_scans, to_labelled
+from rangescan.streaming.pipeline import Pipeline, nearest_asof, replay, sync_nearest
 
 SEPARATION, LINE, SIMPLE = math.radians(10), 0.2, 2.0
 GROUND, WINDOW = math.radians(9), 5
@@ -209,7 +212,7 @@ def angle_image(spark, sf_dir):
 
 def _smoothed(window: int):
     def query(spark, sf_dir):
-        return rounded(ground.smooth_columns(ground.angle_image(px(spark, sf_dir), SENSOR), SENSOR, window), "angle")
+        return rounded(ground.smooth_slopes(px(spark, sf_dir), SENSOR, window), "angle")
 
     return query
 
@@ -391,6 +394,12 @@ def object_hull(spark, sf_dir):
     return rounded(hulls.select("frame_id", "label", "min_z", "height", F.size("hull").alias("n_corners"), area.alias("area")), "min_z", "height", "area")
 
 
+@register(SIZED + f" SELECT frame_id, label, {r('min(z)')} AS min_z, {r('max(z) - min(z)')} AS height FROM sized GROUP BY 1, 2 HAVING max(z) - min(z) >= 0.3")
+def object_heights(spark, sf_dir):
+    """Foot and height of the outlines that are shown."""
+    return rounded(objects.object_hulls(_clusters(spark, sf_dir)).select("frame_id", "label", "min_z", "height"), "min_z", "height")
+
+
 @register()
 def segmentation(spark, sf_dir):
     """The whole plan on the points of the view: ground off, labels, clusters."""
@@ -484,3 +493,118 @@ def asof_odometry(spark, sf_dir):
     frames = readings.where("kind = 'click'").select("key", "ts", F.col("event_id").alias("frame_id"))
     odom = readings.where("kind = 'purchase'").select("key", "ts", F.col("event_id").alias("id"))
     return nearest_asof(frames, odom, ["key"]).select("key", "frame_id", F.unix_micros("odom_ts").alias("odom_us"))
+
+
+# sources, sensors, sinks and streams -----------------------------------------------------------------------
+
+_SINGLE = ", ".join(f"round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 4) + 0.0 AS {c}" for c in "xyz")
+
+
+def _scans(fmt: str):
+    def query(spark, sf_dir):
+        """One file a frame, written and read back; the frame is the number in the file's name."""
+        folder = shared_folder(spark, f"scans-{fmt}")
+        save_scans(pts(spark, sf_dir), folder, fmt).count()
+        rows = read_scans(spark, folder, fmt)
+        return rounded(rows.select(path_number(F.col("path")).alias("frame_id"), "point_idx", *(F.col(c).cast("double") for c in "xyz"), "ring"), "x", "y", "z", digits=4)
+
+    return query
+
+
+for _fmt, _ring in (("bin", "0"), ("txt", "0"), ("pcd", "ring")):
+    register(PTS + f" SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY point_idx) - 1 AS point_idx, {_SINGLE}, CAST({_ring} AS INTEGER) AS ring FROM pts", f"scans_{_fmt}")(_scans(_fmt))
+
+
+@register(DENSE + f' SELECT frame_id, "row", col, round(depth - CASE WHEN depth >= 0.001 THEN v ELSE 0 END, 4) + 0.0 AS depth FROM grid JOIN (VALUES ' + ", ".join(f"({k}, {_num(v)})" for k, v in enumerate(CORRECTIONS_64[:ROWS])) + ') fix(k, v) ON k = "row"')
+def scans_png(spark, sf_dir):
+    """Depth images of 16 bits, written and read back with the error of each row taken off."""
+    folder = shared_folder(spark, "scans-png")
+    save_images(px(spark, sf_dir), folder, ROWS, COLS, PNG_SCALE).count()
+    rows = read_depth_png(spark, folder, corrections=CORRECTIONS_64)
+    return rounded(rows.select(path_number(F.col("path")).alias("frame_id"), "row", "col", F.col("depth").cast("double")), "depth", digits=4)
+
+
+@register(PTS + f" SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY point_idx) - 1 AS point_idx, {_SINGLE}, CAST(ring AS INTEGER) AS ring FROM pts")
+def message_points(spark, sf_dir):
+    """Points packed into messages of a frame each and unpacked again."""
+    rows = decode_messages(message_bytes(pts(spark, sf_dir)), (0, 4, 8, 16), 18)
+    return rounded(rows.select("frame_id", "point_idx", *(F.col(c).cast("double") for c in "xyz"), "ring"), "x", "y", "z", digits=4)
+
+
+@register(PTS + f" SELECT frame_id, point_idx, {_SINGLE}, CAST(ring AS INTEGER) AS ring FROM pts")
+def labelled_points(spark, sf_dir):
+    rows = from_labelled(to_labelled(pts(spark, sf_dir)))
+    return rounded(rows.select("frame_id", "point_idx", *(F.col(c).cast("double") for c in "xyz"), "ring"), "x", "y", "z", digits=4)
+
+
+_PRESETS = {"16": (15, -15, 16), "32": (10, -30, 32), "64 equal": (2, -24, 64), "sphere": (-90, 90, 180)}
+
+
+@register("WITH p(name, top, bottom, n, cols) AS (VALUES " + ", ".join(f"('{k}', {a}e0, {b}e0, {n}, {360 if k == 'sphere' else 870})" for k, (a, b, n) in _PRESETS.items()) + """)
+SELECT name, n AS n_rows, cols AS n_cols, round(radians(top), 3) + 0.0 AS first_row, round(radians(top + (bottom - top) * (n - 1) / n), 2) + 0.0 AS last_row, round(radians(-180), 3) AS first_col, round(radians(-180 + 360e0 * (cols - 1) / cols), 2) AS last_col, round(abs(radians((bottom - top) / n)), 4) AS row_step FROM p
+UNION ALL SELECT '64', 64, 870, round(radians(2), 3), round(radians(-8.87 - 16 * 31e0 / 32), 2), round(radians(-180), 3), round(radians(-180 + 360e0 * 869 / 870), 2), round(radians(10.5e0 / 32), 4)""")
+def sensor_presets(spark, sf_dir):
+    """Size and angles of the sensors that are built in."""
+    made = {"16": Sensor.vlp_16(), "32": Sensor.hdl_32(), "64": Sensor.hdl_64(), "64 equal": Sensor.hdl_64_equal(), "sphere": Sensor.full_sphere(1.0)}
+    rows = [(k, s.rows, s.cols, s.angle_from_row(0), s.angle_from_row(s.rows - 1), s.angle_from_col(0), s.angle_from_col(s.cols - 1), s.row_alphas[0]) for k, s in made.items()]
+    df = spark.createDataFrame(rows, "name string, n_rows int, n_cols int, first_row double, last_row double, first_col double, last_col double, row_step double")
+    digits = {"first_row": 3, "last_row": 2, "first_col": 3, "last_col": 2, "row_step": 4}
+    return df.withColumns({c: F.round(c, d) + F.lit(0.0) for c, d in digits.items()})
+
+
+@register(PX + ", fix(k, v) AS (VALUES " + ", ".join(f"({k}, {_num(v)})" for k, v in enumerate(CORRECTIONS_64[:ROWS])) + f""") SELECT frame_id, "row", col, {r("depth - v")} AS depth FROM px JOIN fix ON k = "row" """)
+def correct_pixels(spark, sf_dir):
+    """The sensor's own error of each row taken off a projected image."""
+    return rounded(project.correct(px(spark, sf_dir).select("frame_id", "row", "col", "depth"), replace(SENSOR, corrections=CORRECTIONS_64[:ROWS])), "depth")
+
+
+@register(
+    f"""WITH t AS (SELECT s_suppkey, CAST(s_suppkey AS DOUBLE) AS x, CAST(s_nationkey AS DOUBLE) AS y, CAST((s_suppkey % 31) * 0.2 - 3.0 AS DOUBLE) AS a, CAST((s_suppkey % 7) * 0.1 AS DOUBLE) AS p FROM supplier)
+SELECT s_suppkey, x, y, 2.0e0 AS z, {r("a")} AS theta, {r("cos(p)")} AS pitch_00, {r("0 - sin(p)")} AS pitch_02, {r("0 - x")} AS back_x, {r("0 - y")} AS back_y, 1.0e0 AS back_00 FROM t"""
+)
+def pose_setters(spark, sf_dir):
+    """Position, heading and pitch set one by one and read back; a pose negated."""
+    rows = table(spark, sf_dir, "supplier")
+    own = pose.with_theta(pose.with_position(pose.identity(), F.col("s_suppkey").cast("double"), F.col("s_nationkey").cast("double"), 2.0), F.expr("cast((s_suppkey % 31) * 0.2 - 3.0 as double)"))
+    rows = rows.select("s_suppkey", own.alias("p"), F.expr("cast((s_suppkey % 7) * 0.1 as double)").alias("pitch"))
+    rows = rows.select("s_suppkey", pose.position(F.col("p")).alias("at"), pose.theta(F.col("p")).alias("theta"), pose.with_pitch(F.col("p"), F.col("pitch")).alias("q"), pose.negated(F.col("p")).alias("n"))
+    entry = lambda c, k: F.get(c, F.lit(k))
+    out = rows.select("s_suppkey", "at.x", "at.y", "at.z", "theta", entry("q", 0).alias("pitch_00"), entry("q", 2).alias("pitch_02"), entry("n", 3).alias("back_x"), entry("n", 7).alias("back_y"), entry("n", 0).alias("back_00"))
+    return rounded(out, "theta", "pitch_00", "pitch_02", "back_x", "back_y")
+
+
+@register(
+    f"""WITH q AS (SELECT event_id, CAST((event_id % 13) * 0.2 AS DOUBLE) AS a, CAST(event_id AS DOUBLE) AS x FROM events)
+SELECT event_id, {r("cos(a)")} AS e00, {r("0 - sin(a)")} AS e01, {r("sin(a)")} AS e10, x, 1.0e0 AS e22 FROM q"""
+)
+def odometry_poses(spark, sf_dir):
+    """Poses of odometry messages: a unit quaternion about the upright axis and a position."""
+    half = F.expr("cast((event_id % 13) * 0.2 as double)") / 2
+    zero = F.lit(0.0)
+    rows = table(spark, sf_dir, "events").select("event_id", odometry_pose(zero, zero, F.sin(half), F.cos(half), F.col("event_id").cast("double"), zero, zero).alias("p"))
+    entry = lambda k: F.get("p", F.lit(k))
+    return rounded(rows.select("event_id", entry(0).alias("e00"), entry(1).alias("e01"), entry(4).alias("e10"), entry(3).alias("x"), entry(10).alias("e22")), "e00", "e01", "e10")
+
+
+_MOVED = {"x": "cos(frame_id * 0.1) * {0}_x - sin(frame_id * 0.1) * {0}_y + frame_id", "y": "sin(frame_id * 0.1) * {0}_x + cos(frame_id * 0.1) * {0}_y - 1", "z": "{0}_z"}
+
+
+@register(BOXES + ", moved AS (SELECT frame_id, label, " + ", ".join(f"{f}({e.format('min')}, {e.format('max')}) AS {n}_{c}" for n, f in (("min", "least"), ("max", "greatest")) for c, e in _MOVED.items()) + f" FROM boxes), shaped AS (SELECT *, {_SHAPE} FROM moved) SELECT frame_id, label, " + ", ".join(f"{r(c)} AS {c}" for c in BOX_COLUMNS) + " FROM shaped")
+def box_moved(spark, sf_dir):
+    boxes = objects.bboxes(_clusters(spark, sf_dir)).drop("n_points")
+    moved = objects.move_box(boxes, pose.planar(F.col("frame_id").cast("double"), -1.0, F.col("frame_id") * 0.1))
+    return rounded(moved.select("frame_id", "label", *BOX_COLUMNS), *BOX_COLUMNS)
+
+
+@register(PX + ' SELECT frame_id, "row", col, depth FROM px WHERE depth > 10')
+def stream_share(spark, sf_dir):
+    """Frames replayed as a stream through a pipeline, whose sink writes what it gets; a removed sink gets nothing."""
+    folder = shared_folder(spark, "stream")
+    frames = px(spark, sf_dir).select("frame_id", "row", "col", "depth")
+    frames.repartition(4, "frame_id").write.parquet(f"{folder}/frames")
+    flow = Pipeline(lambda rows: rows.where("depth > 10"))
+    removed = flow.add_sink(lambda rows, batch: rows.write.mode("append").parquet(f"{folder}/shared"))
+    flow.add_sink(lambda rows, batch: rows.write.mode("append").parquet(f"{folder}/shared"))
+    flow.remove_sink(removed)
+    flow.start(replay(spark, f"{folder}/frames", frames.schema), f"{folder}/checkpoint", once=True).awaitTermination()
+    return spark.read.schema(frames.schema).parquet(f"{folder}/shared")

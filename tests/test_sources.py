@@ -107,3 +107,21 @@ def test_sinks(spark, tmp_path):
     assert [r.frame_id for r in sinks.latest(df).collect()] == [3]
     assert sinks.from_labelled(sinks.to_labelled(df)).first().ring == 2
     assert spark.range(1).select(sinks.padded(F.lit(12345678)).alias("n")).first().n == "12345678"
+
+
+def test_scans_are_written_and_read_back(spark, tmp_path):
+    """Every kind of file, and images with holes; a kind that can't be written is refused."""
+    rows = [(f, k, float(k), k / 3, -1.5 * f, k) for f in (0, 7, 12) for k in range(5)]
+    points = spark.createDataFrame(rows, "frame_id long, point_idx long, x double, y double, z double, ring int")
+    for kind in ("bin", "txt", "pcd"):
+        folder = str(tmp_path / kind)
+        assert sinks.save_scans(points, folder, kind).count() == 3
+        got = scans.read_scans(spark, folder, kind).withColumn("frame_id", scans.path_number(F.col("path"))).orderBy("frame_id", "point_idx").collect()
+        assert [(r.frame_id, r.point_idx) for r in got] == [(f, k) for f, k, *_ in rows]
+        assert np.allclose([(r.x, r.y, r.z) for r in got], [r[2:5] for r in rows]) and [r.ring for r in got] == [k if kind == "pcd" else 0 for *_, k in rows]
+    with pytest.raises(ValueError):
+        sinks.save_scans(points, str(tmp_path), "exr")
+    pixels = spark.createDataFrame([(3, 1, 2, 7.5), (3, 0, 0, 0.25)], "frame_id long, row int, col int, depth double")
+    sinks.save_images(pixels, str(tmp_path / "png"), 2, 4, 500.0).count()
+    image = {(r.row, r.col): r.depth for r in scans.read_depth_png(spark, str(tmp_path / "png")).collect()}
+    assert len(image) == 8 and image[1, 2] == 7.5 and image[0, 0] == 0.25 and image[1, 1] == 0
