@@ -1,7 +1,8 @@
-"""Connected components inside the JVM: smallest-label propagation with pointer jumping.
+"""Connected components inside the JVM: neighbours are merged until no edge is left.
 
-Every round is written to a shared folder and read back: that ends the lineage and survives lost
-executors.
+A round keeps the edges between merged vertices alone, so rounds shrink and their number grows with the
+logarithm of a component, not with its length. Every round is written to a shared folder and read back:
+that ends the lineage and survives lost executors.
 """
 
 from __future__ import annotations
@@ -33,16 +34,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def min_labels(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(frame_id, id, root): the smallest id of the component of every vertex (frame_id, id); edges are (frame_id, src, dst)."""
-    both = written(edges.select("frame_id", "src", "dst").union(edges.select("frame_id", F.col("dst"), F.col("src"))), "grid-edges")
-    state = written(vertices.select("frame_id", "id", F.col("id").alias("root")), "grid-roots")
-    for _ in range(max_rounds):
-        # the smallest root among the neighbours
-        near = both.join(state.select("frame_id", F.col("id").alias("dst"), "root"), ["frame_id", "dst"]).groupBy("frame_id", F.col("src").alias("id")).agg(F.min("root").alias("near"))
-        hop = written(state.join(near, ["frame_id", "id"], "left").select("frame_id", "id", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root")), "grid-roots")
-        # and the root of that root
-        far = hop.select("frame_id", F.col("id").alias("root"), F.col("root").alias("far"))
-        jump = written(hop.join(far, ["frame_id", "root"], "left").select("frame_id", "id", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "grid-roots")
-        state = jump.select("frame_id", "id", "root")
-        if jump.where("old <> root").isEmpty():
-            return state
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    edges = edges.where("src <> dst").select("frame_id", "src", "dst")
+    merged = []
+    for seed in range(max_rounds):
+        if edges.isEmpty():
+            break
+        # each vertex takes the name of the first of itself and its neighbours, in an order drawn anew every round
+        turn = lambda c: F.xxhash64(F.col(c), F.lit(seed))  # noqa: E731, B023
+        both = edges.union(edges.select("frame_id", F.col("dst"), F.col("src")))
+        first = both.groupBy("frame_id", F.col("src").alias("id")).agg(F.min_by("dst", turn("dst")).alias("name"))
+        names = written(first.select("frame_id", "id", F.when(turn("id") < turn("name"), F.col("id")).otherwise(F.col("name")).alias("name")), "grid-names")
+        merged.append(names)
+        # edges between vertices of one name are done; the others go on, each once
+        src, dst = (names.select("frame_id", F.col("id").alias(c), F.col("name").alias(f"{c}_name")) for c in ("src", "dst"))
+        ends = edges.join(src, ["frame_id", "src"]).join(dst, ["frame_id", "dst"]).where("src_name <> dst_name")
+        edges = written(ends.select("frame_id", F.least("src_name", "dst_name").alias("src"), F.greatest("src_name", "dst_name").alias("dst")).distinct(), "grid-edges")
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    if not merged:
+        return vertices.select("frame_id", "id", F.col("id").alias("root"))
+    last = merged.pop()
+    while merged:  # names of names, from the last and smallest round to the first
+        final = last.select("frame_id", F.col("id").alias("name"), F.col("name").alias("final"))
+        last = merged.pop().join(final, ["frame_id", "name"], "left").select("frame_id", "id", F.coalesce("final", "name").alias("name"))
+    named = written(last, "grid-names")
+    low = named.groupBy("frame_id", "name").agg(F.min("id").alias("root"))
+    root = named.join(low, ["frame_id", "name"]).select("frame_id", "id", "root")
+    return vertices.select("frame_id", "id").join(root, ["frame_id", "id"], "left").select("frame_id", "id", F.coalesce("root", "id").alias("root"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangescan.functions.diff import ArrayMath, Diff, diff
-from rangescan.operators.components import min_labels
+from rangescan.operators.components import min_labels, written
 from rangescan.operators.project import HOLE, dense, sparse
 from rangescan.plans.sensor import Sensor
 
@@ -129,8 +129,9 @@ def edge_table(pixels: DataFrame, sensor: Sensor, kind: str, step_row: int = 1,
 
 
 def _native(pixels: DataFrame, sensor: Sensor, helper: Diff, threshold: float, step_row: int, step_col: int) -> DataFrame:
+    pixels = written(pixels, "grid-pixels")
     edges = edge_table(pixels, sensor, helper.name, step_row, step_col)
-    joined = edges.where(helper.satisfied(F.col("diff"), threshold))
+    joined = written(edges.where(helper.satisfied(F.col("diff"), threshold)).select("frame_id", "src", "dst", "depth_a", "depth_b"), "grid-joined")
     both = joined.where((F.col("depth_a") >= HOLE) & (F.col("depth_b") >= HOLE)).select("frame_id", "src", "dst")
     place = F.col("row").cast("long") * sensor.cols + F.col("col")
     vertices = pixels.where(F.col("depth") >= HOLE).select("frame_id", place.alias("id"))

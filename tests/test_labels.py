@@ -7,7 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from rangescan.functions.diff import ArrayMath, diff
-from rangescan.operators.labels import edge_table, label_grid, label_image, neighbourhood
+from rangescan.operators import components
+from rangescan.operators.components import written
+from rangescan.operators.labels import edge_table, label_grid, label_image, neighbourhood, roots
 from rangescan.plans.sensor import Sensor, Span, from_degrees
 
 
@@ -118,3 +120,32 @@ def test_native_labels_reach_holes(spark):
 
 def test_empty_table(spark):
     assert label_image(frame(spark, np.ones((4, 4))).where("depth < 0"), square(4)).count() == 0
+
+
+def test_native_rounds_shrink(spark, monkeypatch):
+    rows, cols = 48, 4  # a snake, the longest way through an image
+    image = np.zeros((rows, cols))
+    image[::2] = 1
+    for k, r in enumerate(range(1, rows, 2)):
+        image[r, 2 if k % 2 else 0] = 1
+    vertices = [(f, r * cols + c) for f in (0, 1) for r, c in zip(*np.nonzero(image), strict=True)]
+    known = set(vertices)
+    edges = [(f, v, v + d) for f, v in vertices for d in (1, cols) if (f, v + d) in known and (d > 1 or (v + 1) % cols)]
+    edges = [e for e in edges if not (e[0] == 1 and e[2] == 40 * cols + 2)]  # and some not joined in the second frame
+    sizes = []
+
+    def counted(df, label):
+        out = written(df, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "written", counted)
+    ints = lambda t: [tuple(map(int, x)) for x in t]
+    got = components.min_labels(spark.createDataFrame(ints(vertices), "frame_id long, id long"), spark.createDataFrame(ints(edges), "frame_id long, src long, dst long"))
+    want = {}
+    for f in (0, 1):
+        own = np.array([e[1:] for e in edges if e[0] == f])
+        root = roots(rows * cols, own[:, 0], own[:, 1])
+        want |= {(f, int(v)): int(root[v]) for g, v in vertices if g == f}
+    assert {(r.frame_id, r.id): r.root for r in got.collect()} == want
+    assert sum(sizes) < 6 * len(vertices), sizes  # every round wrote all vertices twice
