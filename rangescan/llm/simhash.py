@@ -301,9 +301,10 @@ def keep_one_per_class(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     Rows that repeat that id stay together; null and empty texts are one class; rows without an id stay only
     where their whole class has none. Columns may have any names; an empty table stays empty.
     """
-    name = free_name("keep", docs.columns)
-    kept = similar_classes(docs, shingle, similarity, id_col, text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(name)), "left_semi")
+    name = free_name("drop", docs.columns)
+    stays = similar_classes(docs, shingle, similarity, id_col, text_col).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    gone = cut(stays.where(~F.col("stays")).select(F.col("doc_id").alias(name)), "near-copies")  # fewer than those that stay, and texts need not move
+    return docs.join(small(gone), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
 def hex_fingerprint(fp):

@@ -13,6 +13,9 @@ classes pass three filters that lose no pair:
 What is left is told as (text, other class), once, however many of the class the text met. A task then
 holds a block of the class as an inverted index and tallies what the text shares with every member.
 
+No table of shingles is written: as hashes they are larger than the texts. Texts go where they are compared,
+and only those that are; the count filter needs no more of a text than its bytes.
+
 Shingles that many texts have come last in the order, as far as a sample tells them: the sample changes
 how long the lists are, not what is found. Long lists are parted into blocks, each pair of which is a task's.
 """
@@ -56,10 +59,10 @@ def _least(similarity: float, sizes):
     return np.ceil(similarity / (1 + similarity) * sizes - 1e-6)
 
 
-def _gram_rows(batches, shingle: int):
+def _count_rows(batches, shingle: int):
     for batch in sliced(batches):
-        grams = [grams_of(t, shingle).view(np.int64) for t in texts_of(batch)]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(g) for g in grams], pa.int64()), pa.array(grams, pa.list_(pa.int64()))], ["rep", "class", "n", "grams"])
+        grams = [grams_of(t, shingle) for t in texts_of(batch)]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(g) for g in grams], pa.int64()), pa.array([positions_of(g) for g in grams], pa.binary())], ["rep", "class", "n", "bytes"])
 
 
 def _sample_rows(batches, shingle: int):
@@ -141,20 +144,20 @@ def _met(batches, similarity: float):
             yield pa.record_batch([pa.array(np.ascontiguousarray(out[:, 0])), pa.array(np.ascontiguousarray(out[:, 1]))], ["rep", "hub"])
 
 
-def _tallied(batches, similarity: float):
-    """Of rows (hub, block, probe, rep, grams) sorted by the first three: a link of each probe to a member of the block that is similar."""
+def _tallied(batches, shingle: int, similarity: float):
+    """Of rows (hub, block, probe, rep, text) sorted by the first three: a link of each probe to a member of the block that is similar."""
     state, members, index = None, [], None
-    for batch in batches:
+    for batch in sliced(batches):
         a, b = [], []
         hubs, blocks, probes, reps = (batch.column(k).to_pylist() for k in range(4))
-        for k, (hub, block, probe, rep) in enumerate(zip(hubs, blocks, probes, reps, strict=True)):
+        for hub, block, probe, rep, text in zip(hubs, blocks, probes, reps, texts_of(batch), strict=True):
             if state != (hub, block):
                 state, members, index = (hub, block), [], None
-            grams = np.asarray(batch.column(4)[k].values)
-            if not probe:
-                members.append((rep, grams.copy()))
+            if probe and not members:
                 continue
-            if not members:
+            grams = grams_of(text, shingle)
+            if not probe:
+                members.append((rep, grams))
                 continue
             if index is None:
                 names, sizes = np.array([m[0] for m in members]), np.array([len(m[1]) for m in members])
@@ -186,25 +189,19 @@ def links_between(texts: DataFrame, shingle: int, similarity: float, block: int
     postings = texts.mapInArrow(lambda b: _posting_rows(b, shingle, similarity, table.value), row)
     lists = scratch.cut(postings.repartition(n, "key").sortWithinPartitions("key", "class").mapInArrow(lambda b: _crowded(b, block), f"{row}, block int, blocks int"), "shingle-lists")
     wanted = scratch.cut(lists.select("rep").distinct(), "shingle-reps")
-    grams = scratch.cut(texts.join(small(wanted), "rep", "left_semi").select("rep", "class", "text").mapInArrow(lambda b: _gram_rows(b, shingle), "rep long, class long, n long, grams array<long>"), "shingle-sets")
-
-    def counted(batches):
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([positions_of(np.asarray(g.values).view(np.uint64)) for g in batch.column(1)], pa.binary())], ["rep", "bytes"])
-
-    counts = grams.select("rep", "grams").mapInArrow(counted, "rep long, bytes binary")
-    placed = lists.join(counts, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    counts = scratch.cut(texts.join(small(wanted), "rep", "left_semi").select("rep", "class", "text").mapInArrow(lambda b: _count_rows(b, shingle), "rep long, class long, n long, bytes binary"), "shingle-counts")
+    placed = lists.join(counts.select("rep", "bytes"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = ["key", "first", "second"]
     placed = placed.select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "class", "rep", "size", "n", "place", "block", "bytes")
     probes = scratch.cut(placed.repartition(n, *pair).sortWithinPartitions(*pair).mapInArrow(lambda b: _met(b, similarity), "rep long, hub long").distinct(), "shingle-probes")
 
     hubs = scratch.cut(probes.select("hub").distinct(), "similar-hubs")
-    hubs = grams.select(F.col("class").alias("hub"), "rep", "n", "grams").join(small(hubs), "hub", "left_semi")
+    hubs = counts.select(F.col("class").alias("hub"), "rep", "n").join(small(hubs), "hub", "left_semi")
     blocks = scratch.cut(hubs.groupBy("hub").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("blocks")), "similar-blocks")
-    members = hubs.join(small(blocks), "hub").select("hub", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("probe"), "rep", "grams")
+    members = hubs.join(small(blocks), "hub").select("hub", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("probe"), "rep").distinct()
     asked = probes.join(small(blocks), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), "rep")
-    asked = grams.select("rep", "grams").join(small(scratch.cut(asked, "similar-probes")), "rep").select("hub", "block", "probe", "rep", "grams")
+    placed = texts.select("rep", "text").join(small(scratch.cut(members.union(asked), "similar-places")), "rep").select("hub", "block", "probe", "rep", "text")
     at = ["hub", "block"]
-    links = cut(members.union(asked).repartition(n, *at).sortWithinPartitions(*at, "probe").mapInArrow(lambda b: _tallied(b, similarity), "a long, b long"), "similar-links")
+    links = cut(placed.repartition(n, *at).sortWithinPartitions(*at, "probe").mapInArrow(lambda b: _tallied(b, shingle, similarity), "a long, b long"), "similar-links")
     scratch.discard()
     return links

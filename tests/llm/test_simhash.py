@@ -191,6 +191,22 @@ def test_one_row_of_each_class_stays(docs, odd):
     assert keep_one_per_class(odd).columns == odd.columns
 
 
+def test_texts_stay_where_they_are_and_no_shingles_are_written(spark, docs, monkeypatch):
+    """Of near-dedup's disk, most was texts moved for the last join and a table of all shingles, larger than the texts."""
+    written = []
+    monkeypatch.setattr(similar_sets.Scratch, "cut", lambda self, df, label, kept=similar_sets.Scratch.cut: written.append((label, df.schema)) or kept(self, df, label))
+    rows = spark.createDataFrame([(d, f"{'same words again ' * (d % 3)}a b c d e f g h i j k l m n o p {d}") for d in range(60)], "rep long, text string")
+    links_between(rows.selectExpr("rep", "rep as class", "1L as size", "text"), 5, 0.8)
+    assert written and not any("array" in f.dataType.simpleString() for _, schema in written for f in schema)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = keep_one_per_class(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_components_of_a_chain_a_star_and_loops(spark):
     n = 60
     pairs = [(k, k + 1) for k in range(n)] + [(1000, 1001 + k) for k in range(50)] + [(5, 5), (None, 3), (2000, 2001), (2001, 2000)]
